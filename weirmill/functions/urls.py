@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,25 +28,32 @@ def _unescape(part: Column) -> Column:
     return F.when(part.contains("%"), decoded).otherwise(part)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _form(part: Column) -> Column:
+    """The canonical form of scheme, host, path and query."""
+    host = F.regexp_replace(F.regexp_replace(part["host"], r"^(?:www\.)+", ""), r"\.(?=$|:)", "")
+    host = F.when(part["scheme"] == "http", F.regexp_replace(host, r":(?:80)?$", "")).otherwise(F.regexp_replace(host, r":(?:443)?$", ""))
+    path = _let(F.regexp_replace(part["path"], r"(?i);(?:jsessionid|phpsessid|sid)=[^/;]*", ""), _unescape)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), _INDEX_FILE, "/"), r"/+$", "")
+    params = F.filter(
+        F.split(part["query"], "[&;]"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, r"^([^=]*)", 1)).rlike(TRACKING_PARAM)
+    )
+    query = F.when(part["query"] == "", F.lit("")).otherwise(F.array_join(F.array_sort(F.transform(params, _unescape)), "&"))
+    return _let(query, lambda q: F.concat(host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))))
+
+
 def canonical_url(url: Column) -> Column:
     """The page a url leads to, as ``host/path?params``.
 
     Ignored: scheme, ``www.``, case of the host, default port, escaping, final slash or index file, fragment, order of
     parameters and tracking parameters. Null and blank urls give null; text that is no url keeps its trimmed form.
     """
-    url = strip(url)
-    scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
-    host = F.lower(F.regexp_extract(url, _PARTS, 2))
-    host = F.regexp_replace(host, r"^(?:www\.)+", "")
-    host = F.regexp_replace(F.regexp_replace(host, r"\.(?=$|:)", ""), r":$", "")
-    host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme.isin("https", ""), F.regexp_replace(host, r":443$", "")).otherwise(host)
-    path = _unescape(F.regexp_replace(F.regexp_extract(url, _PARTS, 3), r"(?i);(?:jsessionid|phpsessid|sid)=[^/;]*", ""))
-    path = F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), _INDEX_FILE, "/")
-    path = F.regexp_replace(path, r"/+$", "")
-    params = F.filter(
-        F.split(F.regexp_extract(url, _PARTS, 4), "[&;]"),
-        lambda p: (p != "") & ~F.lower(F.regexp_extract(p, r"^([^=]*)", 1)).rlike(TRACKING_PARAM),
+    pick = lambda u, i: F.regexp_extract(u, _PARTS, i)
+    parts = lambda u: F.struct(
+        F.lower(pick(u, 1)).alias("scheme"), F.lower(pick(u, 2)).alias("host"), pick(u, 3).alias("path"), pick(u, 4).alias("query")
     )
-    query = F.array_join(F.array_sort(F.transform(params, _unescape)), "&")
-    form = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(url != "", form)
+    return _let(strip(url), lambda u: F.when(u != "", _let(parts(u), _form)))

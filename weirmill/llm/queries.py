@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weirmill.llm import survivors
+from weirmill.llm import site_lines, splitting, survivors
 from weirmill.tables import table
 
 
@@ -16,5 +17,51 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.merged_pages(table(spark, sf_dir, "webset_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages}
-ORACLE: dict[str, str] = {}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, sf_dir, "parsed_content")).withColumnRenamed("doc", "parsed_no")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = site_lines.without_repeated_lines(table(spark, sf_dir, "parsed_content"))
+    return docs.select("parsed_no", "text", "n_removed")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of problem 5: (table_name, rec_no, text)."""
+    items = table(spark, sf_dir, "webset_items").select(
+        F.lit("webset_items").alias("table_name"), F.col("row_no").alias("rec_no"), F.col("content").alias("text")
+    )
+    parsed = table(spark, sf_dir, "parsed_content").select(
+        F.lit("parsed_content").alias("table_name"), F.col("parsed_no").alias("rec_no"), "text"
+    )
+    return items.unionByName(parsed)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(_texts(spark, sf_dir), ["table_name", "rec_no"], "text")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(_texts(spark, sf_dir), ["table_name", "rec_no"], "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p4_found, p4_cleaned, p5_found, p5_pieces)}
+
+_WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
+
+ORACLE = {
+    "p5_found": f"""
+        select 'webset_items' as table_name, row_no as rec_no from webset_items where length(trim(content, {_WS})) > 2000
+        union all select 'parsed_content', parsed_no from parsed_content where length(trim(text, {_WS})) > 2000""",
+    "p4_found": r"""
+        with l as (
+            select parsed_no, cast(i - 1 as int) as line_no, lines[i] as line, lower(regexp_replace(trim(site_name), '\s+', ' ', 'g')) as site
+            from (select parsed_no, site_name, str_split(text, chr(10)) as lines, unnest(generate_series(1, len(str_split(text, chr(10))))) as i
+                  from parsed_content where trim(site_name) <> '')),
+        k as (
+            select parsed_no, line_no, site, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(line), '[\s\x{a0}]+', ' ', 'g'),
+                   '\pN+', '0', 'g'), '^[^\pL\pN]+', ''), '[^\pL\pN]+$', '') as key
+            from l where regexp_matches(line, '\pL'))
+        select k.parsed_no, k.line_no from k
+        join (select site, key from k group by 1, 2 having count(distinct parsed_no) >= 8) using (site, key)""",
+}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmill.functions.text import WHITE_CLASS, squash, strip
+from weirmill.session import stored
 
 #: A line must be in this many documents of its source.
 LEAST_DOCUMENTS = 8
@@ -60,7 +61,7 @@ def repeated_lines(docs: DataFrame, doc: str = "parsed_no", text: str = "text",
     Several times in one document count once; ``doc`` must be a non-negative integer unique to the row. Null or blank
     sources, null texts, and lines without a letter are left out. Lines count from 0 and are split at line feeds.
     """
-    lines = keyed_lines(docs, doc, text, source)
+    lines = stored(keyed_lines(docs, doc, text, source), "site-lines")
     over = frequent_bitmaps(line_bitmaps(lines), least).select("key", "word", "bits")
     hit = F.expr("(shiftright(bits, cast(doc & 63 as int)) & 1L) = 1L")
     probe = lines.withColumn("word", F.shiftright("doc", 6))

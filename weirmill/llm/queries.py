@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.llm import site_lines, splitting, survivors
+from weirmill.llm import boilerplate, residue, site_lines, splitting, survivors
 from weirmill.tables import table
 
 
@@ -17,6 +17,11 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.merged_pages(table(spark, sf_dir, "webset_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "webset_items")
+    return boilerplate.page_furniture(items, table(spark, sf_dir, "fetch_results"), residue.faulty_contents(items))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, sf_dir, "parsed_content")).withColumnRenamed("doc", "parsed_no")
 
@@ -45,7 +50,15 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(_texts(spark, sf_dir), ["table_name", "rec_no"], "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p4_found, p4_cleaned, p5_found, p5_pieces)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.faulty_fields(table(spark, sf_dir, "webset_items"))
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.real_items(table(spark, sf_dir, "webset_items")).select("row_no", "id", "url", "title")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept)}
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 

@@ -15,15 +15,20 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.orderBy(F.desc("__n"), *keys).limit(MAX_HOT).select(*keys)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], hot_right: DataFrame | None = None) -> DataFrame:
     """Left join to a ``right`` that is unique in ``keys``; null keys find nothing.
 
     Rows of ``left`` with one of its MAX_HOT most frequent keys are joined to a broadcast of at most MAX_HOT rows of
-    ``right``, so no task gets all rows of a hot key; the rest is shuffled by key. No row is lost or repeated.
+    ``right``, so no task gets all rows of a hot key; the rest is shuffled by key. No row is lost or repeated. ``hot_right``:
+    the rows of ``right`` for the most frequent keys, at most MAX_HOT, where the caller knows them already.
     """
-    hot = F.broadcast(hot_keys(left, keys).withColumn("__hot", F.lit(True)))
+    if hot_right is None:
+        hot = F.broadcast(hot_keys(left, keys).withColumn("__hot", F.lit(True)))
+        hot_right = right.join(hot.drop("__hot"), keys, "left_semi")
+    else:
+        hot = F.broadcast(hot_right.select(*keys).withColumn("__hot", F.lit(True)))
+    hot_right = F.broadcast(hot_right)
     tagged = left.join(hot, keys, "left")
-    hot_right = F.broadcast(right.join(hot.drop("__hot"), keys, "left_semi"))
     columns = [*left.columns, *(c for c in right.columns if c not in keys)]
     few = tagged.filter(F.col("__hot")).join(hot_right, keys, "left").select(*columns)
     many = tagged.filter(F.col("__hot").isNull()).join(right, keys, "left").select(*columns)

@@ -45,6 +45,21 @@ MENU = frozenset(
     "archiv preise märkte datenschutz impressum inicio noticias investigación mercados productos precios empleo contacto prensa ayuda tienda temas "
     "archivo acceder buscar suscribirse team jobs faq videos photos sports weather opinion culture services solutions docs community forum".split()
 )
+_STOP = frozenset("the this that and with from for you your our are have all more une les des nos mes der die das und sie von mit ein los las del para por con que una cet cette est han has not was sur plus zum zur aus bei auf sus your get can may one out use its den dem".split())
+
+
+def _keywords() -> frozenset[str]:
+    """Words one of which any line of a kind must have, read off the patterns."""
+    found: set[str] = set("hauptinhalt abonniert abonnent abonnieren seitenanfang cookies".split())
+    for p in _KINDS.values():
+        for i in (0, 1):
+            flat = re.sub(r"\[([^\W\d_])([^\W\d_])\]", lambda m: m[1 + i], p)
+            for w, more in re.findall(r"([^\W\d_]{3,})(\??)", re.sub(r"\\[bsdwS]", " ", flat)):
+                found |= {w, w[:-1]} if more else {w}
+    return frozenset(found - _STOP)
+
+
+_KEYWORDS = _keywords()
 _SPLIT = re.compile(r"\s*[|·•›»>/\t]\s*|\s{2,}")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _BLANKS = re.compile(r"[^\S\t\n]+")
@@ -56,10 +71,13 @@ _WORD = re.compile(r"\w+")
 def _shape(t: str) -> str:
     """The class of a line by its wording and shape."""
     raw = t
+    if len(t) > 240 and t.count(" ") >= 24:
+        return "item" if _BULLET.match(t) else "sentence" if _SENTENCE.search(t, len(t) - 8) else "long"
     t = _BLANKS.sub(" ", t)
     low = t.lower()
     n = t.count(" ") + 1
-    if n <= 24:
+    words = _WORD.findall(low)
+    if n <= 24 and (n < 5 or not _KEYWORDS.isdisjoint(words) or "©" in t):
         bare = t.strip(" \t[](){}<>*-–—:.·•|►▶→↑") if n <= 6 else t
         for kind, p in _KIND:
             if p.search(t) or (bare is not t and p.search(bare)):
@@ -73,7 +91,6 @@ def _shape(t: str) -> str:
         wide = [c for c in _SPLIT.split(raw) if c]
         if wide and sum(c.lower() in MENU for c in wide) * 2 >= len(wide):
             return "menu"
-    words = _WORD.findall(low)
     known = sum(w in MENU for w in words)
     if len(cells) >= 3 and not (len(words) > 14 and _SENTENCE.search(t)):
         if any(_CELL.match(c) for c in cells):
@@ -92,7 +109,7 @@ def _shape(t: str) -> str:
         return "word" if known else "name"
     if known >= 2 and known * 3 >= 2 * len(words) and len(words) <= 10:
         return "menu"
-    if _SENTENCE.search(t):
+    if _SENTENCE.search(t, max(0, len(t) - 8)):
         return "sentence" if n >= 5 else "phrase"
     return "long" if n >= 13 else "heading" if n >= 3 else "name"
 
@@ -101,8 +118,8 @@ _shape_short = lru_cache(maxsize=200_000)(_shape)
 _KEEP = {"sentence", "long", "item", "row"}
 
 
-def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | None = None, joined: list[bool] | None = None) -> list[list[str]]:
-    """The features of each unit. tags: the ancestors of each; joined: whether a unit continues the block of the one before."""
+def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | None = None, joined: list[bool] | None = None) -> list[tuple]:
+    """What decides each unit, for expand(). tags: the ancestors of each; joined: whether a unit continues the block of the one before."""
     kinds = [_shape_short(t) if len(t) < 120 else _shape(t) for t in texts]
     total = len(texts)
     solid = [i for i, k in enumerate(kinds) if k in ("sentence", "long")]
@@ -113,51 +130,64 @@ def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | Non
     for i, (t, k) in enumerate(zip(texts, kinds)):
         before, after = kinds[i - 1] if i else "^", kinds[i + 1] if i + 1 < total else "$"
         heads = 1 if k == "head" else heads + 1 if heads and k in ("heading", "name", "phrase", "item") else 0
-        n = min(t.count(" ") // 4, 8)
         place = "in" if first <= i <= last else "pre" if i < first else "post"
-        f = ["1", "k=" + k, f"k={k},{place}", f"{before}>{k}", f"{k}<{after}", f"n={n}", f"{before}>{k}<{after}"]
+        special = None
         if k == "heading" or k == "name" or k == "phrase":
-            f.append(f"heads={min(heads, 7)},{k},{place}")
             plain = " ".join(_WORD.findall(t.lower()))
-            if plain and name and (plain == name or (len(plain) > 12 and (plain in name or name in plain))):
-                f.append("title")
+            same = bool(plain and name and (plain == name or (len(plain) > 12 and (plain in name or name in plain))))
             run = 0
             while run < 4 and i + run + 1 < total and kinds[i + run + 1] == k:
                 run += 1
             back = 0
             while back < 4 and i - back - 1 >= 0 and kinds[i - back - 1] == k:
                 back += 1
-            f.append(f"run={min(run + back, 4)},{k},{place}")
-            f.append(f"first={i == 0},{k}")
-            f.append(f"last={i == total - 1},{k}")
-        if tags is not None:
-            f.append("html," + k)
-            f.extend("t=" + x for x in tags[i])
-            f.extend(f"t={x},{k}" for x in tags[i])
-        if joined is not None and joined[i]:
-            f.append("joined")
-        out.append(f)
+            special = (min(heads, 7), same, min(run + back, 4), i == 0, i == total - 1)
+        out.append((k, before, after, place, min(t.count(" ") // 4, 8), special, tags[i] if tags is not None else None, bool(joined and joined[i])))
     return out
 
 
+def expand(sign: tuple) -> list[str]:
+    """The names of a unit's features."""
+    k, before, after, place, n, special, tags, joined = sign
+    f = ["1", "k=" + k, f"k={k},{place}", f"{before}>{k}", f"{k}<{after}", f"n={n}", f"{before}>{k}<{after}"]
+    if special:
+        heads, same, run, is_first, is_last = special
+        f += [f"heads={heads},{k},{place}", f"run={run},{k},{place}", f"first={is_first},{k}", f"last={is_last},{k}"]
+        if same:
+            f.append("title")
+    if tags is not None:
+        f.append("html," + k)
+        for x in sorted(tags):
+            f += ["t=" + x, f"t={x},{k}"]
+    if joined:
+        f.append("joined")
+    return f
+
+
 class Chain:
     """A conditional random field with the labels 0 (body) and 1 (furniture); weights score label 1 against label 0."""
 
     def __init__(self, weights: dict[str, float], steps: list[list[float]], tie: float):
         self.weights, self.steps, self.tie = weights, steps, tie
+        self.known: dict[tuple, float] = {}
 
-    def scores(self, units: list[list[str]]) -> list[float]:
-        get = self.weights.get
-        return [sum(get(f, 0.0) for f in fs) for fs in units]
+    def score(self, sign: tuple) -> float:
+        value = self.known.get(sign)
+        if value is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            value = self.known[sign] = sum(self.weights.get(f, 0.0) for f in expand(sign))
+        return value
 
-    def decode(self, units: list[list[str]]) -> list[int]:
+    def decode(self, units: list[tuple]) -> list[int]:
         """The best labels by Viterbi; a unit that continues a block is tied to the one before by ``tie``."""
         (s00, s01), (s10, s11) = self.steps
         a, b = 0.0, 0.0
         back = []
-        for i, (x, fs) in enumerate(zip(self.scores(units), units)):
+        for i, sign in enumerate(units):
+            x = self.score(sign)
             if i:
-                tie = self.tie if fs[-1] == "joined" else 0.0
+                tie = self.tie if sign[-1] else 0.0
                 stay0, move0 = a + s00 + tie, b + s10
                 stay1, move1 = b + s11 + tie, a + s01
                 back.append((0 if stay0 >= move0 else 1, 1 if stay1 >= move1 else 0))

@@ -72,7 +72,7 @@ def label_text(texts: list[str], title: str = "", tags: list[frozenset[str]] | N
     return labels
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> B.Chain:
+def train(pages: list[tuple[list[tuple], list[int]]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> B.Chain:
     """Adagrad on the log-likelihood; gradients by forward-backward."""
     weights: dict[str, float] = {}
     squares: dict[str, float] = {}
@@ -81,6 +81,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 6, rate:
     order = random.Random(seed)
     lse = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
     tie = 3.0
+    pages = [([B.expand(sign) for sign in units], labels) for units, labels in pages]
     for _ in range(rounds):
         order.shuffle(pages)
         for units, labels in pages:
@@ -117,7 +118,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 6, rate:
     return B.Chain({f: round(w, 3) for f, w in weights.items() if abs(w) > 0.05}, [[round(v, 3) for v in s] for s in steps], tie)
 
 
-def load(sf_dir: str) -> list[tuple[list[list[str]], list[int]]]:
+def load(sf_dir: str) -> list[tuple[list[tuple], list[int]]]:
     import pyarrow.parquet as pq
 
     pages = []

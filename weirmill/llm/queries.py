@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.llm import batch_dedup, boilerplate, residue, site_lines, splitting, survivors
+from weirmill.llm import batch_dedup, boilerplate, pii, residue, site_lines, splitting, survivors
 from weirmill.tables import table
 
 
@@ -68,7 +68,17 @@ def p7_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.new_items(items, residue.faulty_contents(items)).select("row_no", "batch_no", "url", "title")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+    return spans.select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.without_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+    return docs.select("doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new, p10_found, p10_redacted)}
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 

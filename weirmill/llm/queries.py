@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.llm import batch_dedup, boilerplate, pii, residue, site_lines, splitting, survivors
+from weirmill.llm import batch_dedup, boilerplate, mixing, packing, pii, residue, site_lines, splitting, survivors
 from weirmill.tables import table
 
 
@@ -68,6 +68,31 @@ def p7_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.new_items(items, residue.faulty_contents(items)).select("row_no", "batch_no", "url", "title")
 
 
+def _tokens() -> Column:
+    """Size of a document: its count of word-and-punctuation tokens, computed where it is missing."""
+    return F.coalesce(F.col("n_tokens"), packing.token_count(F.col("text")))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", _tokens())
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "source", _tokens())
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.personal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
     return spans.select("doc_id", "kind", "start_pos").distinct()
@@ -78,7 +103,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new, p8_packed, p8_report, p9_draws, p9_report, p10_found, p10_redacted)}
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 

@@ -91,5 +91,5 @@ def orphan_references(
 def orphans_by_period(orphans: DataFrame, field: str, kind: str, time: str, period: str = "month") -> DataFrame:
     """Counts of orphan references per field, period (of the referring row's ``time``; null kept as its own) and kind."""
     return orphans.groupBy(
-        F.col(field).alias("ref_field"), F.date_trunc(period, F.col(time)).cast("date").alias("period"), F.col(kind).alias("kind")
+        F.col(field).alias("ref_field"), F.date_format(F.date_trunc(period, F.col(time)), "yyyy-MM-dd").alias("period"), F.col(kind).alias("kind")
     ).agg(F.count(F.lit(1)).alias("n_refs"))

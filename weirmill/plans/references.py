@@ -57,5 +57,5 @@ def _sql(child: str, key: str, rec: str, parent: str, entity: str) -> str:
 _ALL = " union all ".join(_sql(*ref) for ref in REFERENCES)
 ORACLE = {
     "p3_found": f"select ref_field, rec_no, kind from ({_ALL})",
-    "p3_report": f"select ref_field, cast(date_trunc('month', arrived at time zone 'UTC') as date) as period, kind, count(*) as n_refs from ({_ALL}) group by 1, 2, 3",
+    "p3_report": f"select ref_field, strftime(date_trunc('month', arrived at time zone 'UTC'), '%Y-%m-%d') as period, kind, count(*) as n_refs from ({_ALL}) group by 1, 2, 3",
 }

@@ -114,7 +114,7 @@ def _shape(t: str) -> str:
     return "long" if n >= 13 else "heading" if n >= 3 else "name"
 
 
-_shape_short = lru_cache(maxsize=200_000)(_shape)
+_shape_short = lru_cache(maxsize=50_000)(_shape)
 _KEEP = {"sentence", "long", "item", "row"}
 
 
@@ -174,7 +174,7 @@ class Chain:
     def score(self, sign: tuple) -> float:
         value = self.known.get(sign)
         if value is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             value = self.known[sign] = sum(self.weights.get(f, 0.0) for f in expand(sign))
         return value

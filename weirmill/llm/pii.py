@@ -28,6 +28,7 @@ MAX_NAME_WORDS = 100_000
 _AT = r"(?:@|\s*[\[({<]\s*(?:at|@|arroba|chez|[àa])\s*[\])}>]\s*|\s+(?:AT|at|arroba)\s+)"
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:DOT|dot|punkt|point|punto)\s+)"
 _EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+_AT_MARK = re.compile(r"@|[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]|\s(?:AT|at|arroba)\s+[A-Za-z0-9-]+(?:\s+(?:DOT|dot|punkt|punto|point)\s|\s*[\[({<]\s*(?:dot|punkt|punto|point)|\.[a-z])")
 _FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|pdf|json|ts|zip)$|(?:^|\.)\d+$", re.I)
 _NUMBER = re.compile(r"(?<![\w.,@/#%-])(?:\+|\()?\d(?:[\d  ./()‑–-]*\d)(?![\w@]|[.,]\d)")
 _ALNUM = re.compile(
@@ -40,6 +41,11 @@ _ID_CUE = re.compile(
     r"\bdni\b|\bnie\b|\bnif\b|\bnir\b|s[ée]curit[ée] sociale|num[ée]ro fiscal|carte (?:nationale )?d.identit[ée]|\bcni\b|\binsee\b|steuer|\bidnr\b|\bausweis|personalausweis|sozialversicherung|rentenversicherung|seguridad social|n[úu]mero de (?:identidad|identificaci[óo]n)|documento|identificaci[óo]n fiscal|number and)[^\n]{0,30}$",
     re.I,
 )
+#: A text without any of these names no identity number.
+_ID_WORDS = (
+    "ssn", "social", "insurance", "nino", "tax", " tin ", " itin ", "pass", "pasaporte", "identi", "id card", "id no", "id number", "id:", "national id", "dni", " nie ", " nie:", "nif", "nir ", "nir:", "fiscal",
+    " cni ", "insee", "steuer", "idnr", "ausweis", "versicherung", "document", "number and", "signed", "signé", "firmó", "unterschr",
+)
 _ID_AFTER = re.compile(r"^[^\n]{0,4}(?:as (?:her|his|their) (?:ssn|tax|passport|id|national)|,? ?(?:signed|a sign[ée]|hat .{0,20}unterschr|firm[óo]))", re.I)
 _NOT_CUE = re.compile(
     r"(?:\bisbn\b|\bissn\b|\bdoi\b|version|versi[óo]n|\bv\.?$|\bbuild\b|\border\b|commande|bestellung|pedido|\bpart no|\bpages?\b|seiten?\b|p[áa]ginas?|\bvolume\b|\bband\b|\bgrant\b|invoice|\brun\b|\bitem\b|\bat \d|latitude|longitude|coordinates?|\bref\b|figure|table|ticket|\bip\b|\breads\b|reemplaza|remplace|ersetzt|sustituye|tracking|serial|model|\bkB\b|\blot\b|patent)[^\n]{0,14}$",
@@ -48,16 +54,72 @@ _NOT_CUE = re.compile(
 _STREET = r"(?:Street|St|Lane|Ln|Row|Road|Rd|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Close|Court|Ct|Way|Walk|Place|Pl|Square|Sq|Terrace|Crescent|Gardens|Grove|Hill|Mews|Parade|Parkway|Pkwy|Highway|Alley|Quay|Wharf|Park|Circle)"
 _UNIT = r"(?:(?:Apt|Apartment|Flat|Unit|Suite|Ste|Room|Floor|Fl|App(?:t|artement)?|Whg|Wohnung|Piso|Puerta|Bât(?:iment)?)\.? ?#?(?:\d{1,4}[A-Za-z]?|[A-Z]),? )"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
-_ADDRESS = re.compile(
-    rf"(?<![\w.,/-]){_UNIT}?\d{{1,5}} ?[A-Za-z]?(?:[/-]\d{{1,4}}[A-Za-z]?)?,? (?:(?:North|South|East|West|[NSEW]\.?|NE|NW|SE|SW) )?(?:(?:Old|New|Upper|Lower|Great|Little|St\.?) )?{_CAP}(?: {_CAP})?(?<!\b[NSEW]) {_STREET}\b"
-    rf"|(?<![\w.,/-]){_UNIT}?\d{{1,4}} ?(?:bis|ter|quater|[A-Da-d])?,? ?(?:rue|avenue|av\.|impasse|boulevard|bd|place|all[ée]e|chemin|quai|cours|route|square|passage|ruelle|villa|sentier|faubourg)(?: (?:de la|de l'|de l’|du|des|de|d'|d’|le|la|les))? ?{_CAP}(?:-{_CAP})?"
-    rf"|(?<![\w-])(?:(?:Alte|Neue|Am|An der|Im|Zum|Zur|Auf dem|Unter den|Hinter der)[ -])?[A-ZÄÖÜ][\wäöüß]*(?:[ -][A-ZÄÖÜ][\wäöüß]*)*?(?:[ -]?(?:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|ufer|ring|damm|steig|hof|markt|chaussee|graben|Stra(?:ß|ss)e|Str\.|Weg|Allee|Platz|Gasse|Ufer|Ring|Damm)) \d{{1,4}} ?[a-zA-Z]?(?:[/-]\d{{1,3}})?(?!\w|[.,]\d)"
-    rf"|(?<![\w-])(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den|Hinter der|Beim) (?!Jahr|Jan|Feb|März|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez|Band|Kapitel){_CAP}(?:[ -]{_CAP})?,? \d{{1,4}} ?[a-zA-Z]?(?!\w|[.,]\d)"
-    rf"|(?<![\w-])(?:{_UNIT})?(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]aseo|[Pp]laza|[Pp]asaje|[Cc]amino|[Rr]onda|[Tt]raves[íi]a|[Cc]allej[óo]n|[Cc]arretera|[Gg]lorieta|[Cc]uesta)(?: (?:de la|de los|de las|del|de))? ?{_CAP}(?: {_CAP})?,?(?: n\.?[ºo°]\.?| n[úu]m\.?| n[úu]mero)? ?\d{{1,4}} ?[A-Za-z]?(?!\w|[.,]\d)"
-    rf"|(?<![\w.,/-])\d{{1,4}} ?[A-Za-z]?,? (?:[Cc]alle|[Aa]venida|[Pp]aseo|[Pp]laza|[Cc]amino) (?:(?:de la|de los|de las|del|de) )?{_CAP}"
-    rf"|(?<![\w-])(?:(?:Old|New|Upper|Lower) )?{_CAP} {_STREET}\.?,? (?:No\.? ?|nr\.? ?)?\d{{1,4}} ?[A-Za-z]?(?![\w:]|[.,]\d)"
+_NUMBER_FIRST = re.compile(
+    rf"\d{{1,5}} ?[A-Za-z]?(?:[/-]\d{{1,4}}[A-Za-z]?)?,? (?:(?:North|South|East|West|[NSEW]\.?|NE|NW|SE|SW) )?(?:(?:Old|New|Upper|Lower|Great|Little|St\.?) )?{_CAP}(?: {_CAP})?(?<!\b[NSEW]) {_STREET}\b"
+    rf"|\d{{1,4}} ?(?:bis|ter|quater|[A-Da-d])?,? ?(?:rue|avenue|av\.|impasse|boulevard|bd|place|all[ée]e|chemin|quai|cours|route|square|passage|ruelle|villa|sentier|faubourg)(?: (?:de la|de l'|de l’|du|des|de|d'|d’|le|la|les))? ?{_CAP}(?:-{_CAP})?"
+    rf"|\d{{1,4}} ?[A-Za-z]?,? (?:[Cc]alle|[Aa]venida|[Pp]aseo|[Pp]laza|[Cc]amino) (?:(?:de la|de los|de las|del|de) )?{_CAP}"
+)
+_UNIT_BEFORE = re.compile(rf"(?<![\w-]){_UNIT}$")
+_NAME_FIRST = re.compile(
+    rf"(?<![\w-])(?:(?:Alte|Neue|Am|An der|Im|Zum|Zur|Auf dem|Unter den|Hinter der)[ -])?[A-ZÄÖÜ][\wäöüß]*(?:[ -][A-ZÄÖÜ][\wäöüß]*)*?(?:[ -]?(?:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|ufer|ring|damm|steig|hof|markt|chaussee|graben|Stra(?:ß|ss)e|Str\.|Weg|Allee|Platz|Gasse|Ufer|Ring|Damm)) $"
+    rf"|(?<![\w-])(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den|Hinter der|Beim) (?!Jahr|Jan|Feb|März|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez|Band|Kapitel){_CAP}(?:[ -]{_CAP})?,? $"
+    rf"|(?<![\w-])(?:{_UNIT})?(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]aseo|[Pp]laza|[Pp]asaje|[Cc]amino|[Rr]onda|[Tt]raves[íi]a|[Cc]allej[óo]n|[Cc]arretera|[Gg]lorieta|[Cc]uesta)(?: (?:de la|de los|de las|del|de))? ?{_CAP}(?: {_CAP})?,?(?: n\.?[ºo°]\.?| n[úu]m\.?| n[úu]mero)? ?$"
+    rf"|(?<![\w-])(?:(?:Old|New|Upper|Lower) )?{_CAP} {_STREET}\.?,? (?:No\.? ?|nr\.? ?)?$"
 )
-_ADDRESS_HINT = re.compile(rf"\d[^\n]{{0,30}}\b{_STREET}\b|\b{_STREET}\b[^\n]{{0,12}}\d|\b(?:rue|avenue|av\.|impasse|boulevard|bd|place|all[ée]e|chemin|quai|cours|route|square|passage|ruelle|sentier|faubourg|[Cc]alle|[Aa]venida|[Aa]vda|[Pp]aseo|[Pp]laza|[Pp]asaje|[Cc]amino|[Rr]onda|[Tt]raves[íi]a|[Cc]arretera)\b|C/|(?:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|ufer|ring|damm|steig|hof|markt|Stra(?:ß|ss)e|Str\.|Weg|Allee|Platz|Gasse),? \d|\b(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den|Beim) [A-ZÄÖÜ]\w+,? \d")
+_NAME_ENDS = tuple(
+    f"{w} " for w in "straße strasse str. weg allee platz gasse ufer ring damm steig hof markt chaussee graben street st st. lane ln row road rd rd. avenue ave ave. boulevard blvd blvd. drive close court way place square terrace no. nr.".split()
+) + ("street, ", "lane, ", "row, ", "road, ", "avenue, ", "drive, ", "close, ")
+_NAME_PARTS = ("calle", "c/", "avenida", "avda", "paseo", "plaza", "pasaje", "camino", "ronda", "traves", "callej", "carretera", "glorieta", "cuesta")
+_NAME_LEADS = ("am ", "an der ", "im ", "zum ", "zur ", "auf dem ", "unter den ", "hinter der ", "beim ")
+
+
+def _may_name(before: str) -> bool:
+    low = before.lower()
+    if low.endswith(_NAME_ENDS):
+        return True
+    for p in _NAME_PARTS:
+        if p in low:
+            return True
+    tail = low[-30:]
+    for p in _NAME_LEADS:
+        if p in tail:
+            return True
+    return False
+
+
+_INTEGER = re.compile(r"\d+")
+_REST = re.compile(r"\d{1,4} ?[a-zA-Z]?(?:[/-]\d{1,3})?(?![\w:]|[.,]\d)")
+
+
+def address_spans(text: str) -> list[tuple[int, int, bool]]:
+    """Candidate addresses (start, end, begins with a flat or unit): each house number is tried with what follows and precedes it."""
+    out = []
+    last = 0
+    for m in _INTEGER.finditer(text):
+        a, b = m.span()
+        if b - a > 5 or a < last:
+            continue
+        hit = _NUMBER_FIRST.match(text, a)
+        if hit and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-")):
+            unit = _UNIT_BEFORE.search(text, max(0, a - 24), a)
+            start = unit.start() if unit else a
+            out.append((start, hit.end(), bool(unit)))
+            last = hit.end()
+            continue
+        if b - a > 4:
+            continue
+        begin = max(0, a - 60)
+        cut = text.rfind("\n", begin, a)
+        before = text[cut + 1 if cut >= 0 else begin : a]
+        if before[-1:] in (" ", "/") and _may_name(before):
+            rest = _REST.match(text, a)
+            hit = _NAME_FIRST.search(before)
+            if rest and hit:
+                out.append((a - len(before) + hit.start(), rest.end(), bool(re.match(_UNIT, hit[0]))))
+                last = rest.end()
+    return out
+
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _COMPANY = frozenset(
     "group labs lab institute institut instituto foundation fondation stiftung systems networks robotics analytics biotech observatory gmbh ag kg inc ltd llc corp corporation company sa sl plc sas sarl "
@@ -129,7 +191,13 @@ _INITIAL = re.compile(r"(?<![\w.])((?:[A-Za-zÀ-Ý]\.[ -]?){1,3})$")
 
 def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = None) -> list[tuple[int, int, dict[str, float]]]:
     """Candidate names with features: chains of name words, and initials with a family name."""
-    hits = [(m.start(), m.end(), m[0], w) for m in _TOKEN.finditer(text) if (w := words.look(m[0]))]
+    hits = []
+    known, look = words.seen, words.look
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        w = known[token] if token in known else look(token)
+        if w:
+            hits.append((m.start(), m.end(), token, w))
     if emails:
         hits = [h for h in hits if not any(a <= h[0] < b for a, b in emails)]
     spans = []
@@ -237,18 +305,29 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
     out: list[tuple[str, int, int, dict[str, float]]] = []
     emails: list[tuple[int, int]] = []
     low = text.lower()
-    if "@" in text or " at" in low or "(at" in low or "[at" in low or "arroba" in low:
-        for m in _EMAIL.finditer(text):
+    for mark in _AT_MARK.finditer(text):
+        if emails and emails[-1][1] > mark.start():
+            continue
+        begin = max(0, mark.start() - 80)
+        while begin and text[begin - 1] not in " \n\t;,:<(\"'" and mark.start() - begin < 400:
+            begin -= 1
+        for m in _EMAIL.finditer(text, begin, min(len(text), mark.end() + 200)):
+            if m.end() <= mark.start():
+                continue
+            if m.start() > mark.start():
+                break
             s = m[0]
             plain = "@" in s
-            if not plain and not re.search(_DOT.replace(r"\.|", "", 1), s) and not re.search(r"[\[(]", s):
-                continue
             domain = re.split(_AT, s, maxsplit=1)[-1]
             out.append(("email", m.start(), m.end(), {"at_sign": plain, "file_end": bool(_FILE_END.search(s)), "domain_parts": len(re.split(_DOT, domain)), "digits": sum(c.isdigit() for c in domain)}))
             emails.append(m.span())
-    for p, lettered in ((_NUMBER, False), (_ALNUM, True)):
+            break
+    named = any(w in low for w in _ID_WORDS)
+    for p, lettered in ((_NUMBER, False), (_ALNUM, True)) if named else ((_NUMBER, False),):
         for m in p.finditer(text):
             s = m[0]
+            if len(s) < 6:
+                continue
             digits = sum(c.isdigit() for c in s)
             if digits < (5 if lettered else 7) or digits > 18 or len(s) > 26:
                 continue
@@ -267,18 +346,17 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
                 out.append(("phone", m.start(), m.end(), base | {"cue": phone_cue, "after_cue": phone_after, "other_cue": id_cue or id_after}))
             out.append(("id_number", m.start(), m.end(), base | {"cue": id_cue, "after_cue": id_after, "other_cue": phone_cue or phone_after}))
     places: list[tuple[int, int]] = []
-    if _ADDRESS_HINT.search(text):
-        for m in _ADDRESS.finditer(text):
-            s = m[0]
-            before, after = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 24]
-            nxt = _TOKEN.match(after.lstrip(" ")) if after[:1] == " " else None
-            num = re.search(r"\d+", s)
-            out.append(("address", m.start(), m.end(), {
-                "unit": bool(re.match(_UNIT, s)), "digits": len(num[0]) if num else 0, "company_next": bool(nxt and nxt[0].lower() in _COMPANY), "shape": 1 if s[:1].isdigit() else 2,
-                "cue": bool(re.search(r"(?:address|adresse|direcci[óo]n|live[sd]? at|\bat|\bto|from|habite|reste au|wohnt|anschrift|vive en|samples|send|moved|visits?|domicilio|[:,])\s*$", before, re.I)),
-                "not_cue": bool(re.search(r"(?:\bin|\bof|\bde|between|from|on|\bauf|von|sur)\s+$", before)) and not s[:1].isalpha(), "case": _case(re.sub(_STREET, "", s)),
-            }))
-            places.append(m.span())
+    for start, end, unit in address_spans(text):
+        s = text[start:end]
+        before, after = text[max(0, start - 40) : start], text[end : end + 24]
+        nxt = _TOKEN.match(after.lstrip(" ")) if after[:1] == " " else None
+        num = re.search(r"\d+", s)
+        out.append(("address", start, end, {
+            "unit": unit, "digits": len(num[0]) if num else 0, "company_next": bool(nxt and nxt[0].lower() in _COMPANY), "shape": 1 if s[:1].isdigit() else 2,
+            "cue": bool(re.search(r"(?:address|adresse|direcci[óo]n|live[sd]? at|\bat|\bto|from|habite|reste au|wohnt|anschrift|vive en|samples|send|moved|visits?|domicilio|[:,])\s*$", before, re.I)),
+            "not_cue": bool(re.search(r"(?:\bin|\bof|\bde|between|from|on|\bauf|von|sur)\s+$", before)) and not s[:1].isalpha(), "case": _case(re.sub(_STREET, "", s)),
+        }))
+        places.append((start, end))
     for start, end, f in name_spans(text, words, emails):
         if f["n"] < 2 and not f["initial"]:
             continue

@@ -49,7 +49,7 @@ def label(kind: str, f: dict[str, float]) -> int:
 def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarray], depth: int, least: float = 8.0, ridge: float = 1.0):
     """One regression tree on the gradients, by exact search over each feature's cuts."""
     total_g, total_h = grad.sum(), hess.sum()
-    leaf = round(float(0.3 * total_g / (total_h + ridge)), 4)
+    leaf = round(float(0.6 * total_g / (total_h + ridge)), 4)
     if depth == 0 or len(grad) < 2 * least:
         return leaf
     best, where = total_g**2 / (total_h + ridge) + 1e-6, None
@@ -78,7 +78,7 @@ def apply(node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 6) -> tuple[float, list]:
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 16, depth: int = 6) -> tuple[float, list]:
     cuts = []
     for j in range(x.shape[1]):
         values = np.unique(x[:, j])

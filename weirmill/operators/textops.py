@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import md5, sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,12 +258,12 @@ def shingles(text: Column, n: int = 3) -> Column:
 
 def simhash(grams: list[str]) -> str:
     """64-bit fingerprint in hex: a bit is set if more grams have it than not; a gram's bits are those of its md5 without leading zeros."""
-    sums = [0] * 64
-    for g in grams:
-        bits = bin(int(md5(g.encode()).hexdigest(), 16))[2:][:64]
-        for i, b in enumerate(bits):
-            sums[i] += 1 if b == "1" else -1
-    return f"{int(''.join('1' if s > 0 else '0' for s in sums), 2):016x}"
+    if not grams:
+        return "0" * 16
+    numbers = [int.from_bytes(md5(g.encode()).digest()) for g in grams]
+    tops = np.array([h >> h.bit_length() - 64 if h.bit_length() >= 64 else h << 64 - h.bit_length() for h in numbers], ">u8")
+    ones = np.unpackbits(tops.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(grams)).tobytes().hex()
 
 
 def minhash(grams: list[str], n: int = 128) -> str:
@@ -272,16 +273,31 @@ def minhash(grams: list[str], n: int = 128) -> str:
     return sha256(str([min(int(md5(f"{i}:{g}".encode()).hexdigest(), 16) for g in grams) for i in range(n)]).encode()).hexdigest()
 
 
+def _grams(text: str | None, n: int = 3) -> list[str]:
+    w = (text or "").split()
+    return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
 @F.pandas_udf(T.StringType())
-def simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for grams in batches:
-        yield grams.map(lambda g: simhash([] if g is None else list(g)))
+def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield text.map(lambda t: simhash(_grams(t)))
 
 
 @F.pandas_udf(T.StringType())
-def minhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for grams in batches:
-        yield grams.map(lambda g: minhash([] if g is None else sorted(set(g))))
+def _minhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield text.map(lambda t: minhash(sorted(set(_grams(t)))))
+
+
+def simhash_of(text: Column) -> Column:
+    """SimHash of the word 3-grams of the normalised text; all zeros for fewer than three words and for null."""
+    return _simhash(F.coalesce(normal_content(text), F.lit("")))
+
+
+def minhash_of(text: Column) -> Column:
+    """MinHash digest of the word 3-grams of the normalised text."""
+    return _minhash(F.coalesce(normal_content(text), F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -60,7 +60,7 @@ def dup_sha(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_simhash(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", X.simhash_udf(X.shingles(F.col("text"))).alias("fingerprint"))
+    return _docs(s, d).select("doc_id", X.simhash_of(F.col("text")).alias("fingerprint"))
 
 
 def dup_simhash_links(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,12 @@ def dup_simhash_links(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_minhash(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "ruvector_docs").select("id", X.minhash_udf(X.shingles(F.col("text"))).alias("signature"))
+    return table(s, d, "ruvector_docs").select("id", X.minhash_of(F.col("text")).alias("signature"))
+
+
+def dup_shingles(s: SparkSession, d: str) -> DataFrame:
+    grams = _docs(s, d).select("doc_id", F.explode(X.shingles(F.col("text"))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def dup_url(s: SparkSession, d: str) -> DataFrame:
@@ -86,7 +91,7 @@ _CHANGES = {
     "txt_clean": X.clean, "txt_display": X.for_display, "txt_no_urls": X.no_urls, "txt_no_emails": X.no_emails, "txt_boilerplate": X.no_boilerplate,
     "txt_marks": X.plain_marks, "txt_flat": X.flat, "txt_navigation": X.no_navigation, "txt_paragraphs": X.main_paragraphs, "txt_repeated_lines": X.no_repeated_lines, "txt_short_runs": X.short_runs, "txt_summary": X.summary_words,
 }
-_FUNCTIONS = (txt_stats, txt_embedding, chk_fixed, chk_words, chk_sentences, chk_sentence_pack, chk_embedding, dup_sha, dup_simhash, dup_simhash_links, dup_minhash, dup_url, set_jaccard)
+_FUNCTIONS = (txt_stats, txt_embedding, chk_fixed, chk_words, chk_sentences, chk_sentence_pack, chk_embedding, dup_sha, dup_simhash, dup_simhash_links, dup_minhash, dup_shingles, dup_url, set_jaccard)
 QUERIES = {name: _mapped(name, change) for name, change in _CHANGES.items()} | {f.__name__: f for f in _FUNCTIONS}
 
 _W = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -26,7 +26,7 @@ _KINDS = {
     "skip": r"^(?:skip to (?:main )?content|aller au contenu(?: principal)?|zum (?:haupt)?inhalt springen|(?:ir|saltar) al contenido(?: principal)?|jump to (?:navigation|search|content))$",
     "top": r"^(?:back to top|to top|(?:retour en )?haut de page|nach oben|zum seitenanfang|volver arriba|subir)$",
     "ad": r"^(?:advertisements?|sponsored(?: content)?|ad|anzeige|werbung|publicit[ée]|annonce|publicidad|anuncio|(?:story|article) continues below(?: advertisement)?|la suite (?:apr[èe]s|sous) .{0,30}|(?:der )?artikel geht .{0,20}weiter|weiter nach der anzeige|(?:la noticia )?contin[úu]a (?:abajo|m[áa]s abajo|despu[ée]s de .{0,30}))$",
-    "share": r"^(?:share(?: (?:this|on)\b.{0,40})?|partager(?: cet article| sur\b.{0,30})?|(?:artikel|beitrag|diesen (?:artikel|beitrag)) teilen|teilen|compartir(?: (?:este )?(?:art[íi]culo|en\b.{0,30}))?|tweet\b.{0,40}|listen to this article.{0,20}|[ée]couter (?:cet )?article.{0,20}|artikel anh[öo]ren.{0,20}|escuchar (?:este )?art[íi]culo.{0,20}|print this page|imprimer|drucken|imprimir|save for later|copy link)$",
+    "share": r"^(?:share(?: (?:this|on)\b.{0,40})?|partager(?: cet article| sur\b.{0,30})?|(?:artikel|beitrag|diesen (?:artikel|beitrag)) teilen|teilen|compartir(?: (?:este )?(?:art[íi]culo|en\b.{0,30}))?|tweet\b.{0,40}|listen to this article.{0,20}|[ée]couter (?:cet )?article.{0,20}|artikel anh[öo]ren.{0,20}|escuchar (?:este )?art[íi]culo.{0,20}|(?:print|drucken|imprimer|imprimir)(?: this page)?(?: (?:e-?mail|save|share|merken|senden|teilen|envoyer|partager|enregistrer|enviar|guardar|compartir)){0,3}|save for later|copy link)$",
     "head": r"^(?:most (?:read|popular|viewed)|trending(?: now)?|popular(?: (?:in|on|now|posts)\b.{0,40})?|you may also like|you might also like|related(?: (?:articles|stories|posts|links|topics|reading))?|recommended(?: for you)?|latest (?:from|news|on)\b.{0,40}|more (?:from|in|on)\b.{0,40}|editors?.? picks?|les plus (?:lus|r[ée]cents|consult[ée]s)|sur le m[êe]me (?:th[èe]me|sujet)|[àa] la une(?: de\b.{0,40})?|[àa] lire aussi|articles? (?:li[ée]s|similaires)|vous aimerez aussi|das k[öo]nnte sie auch interessieren|neu (?:auf|bei|in)\b.{0,40}|meistgelesen(?:e artikel)?|mehr (?:zum thema|von\b.{0,40}|aus\b.{0,40})|beliebt\b.{0,30}|verwandte (?:artikel|themen)|am h[äa]ufigsten gelesen|lo m[áa]s (?:le[íi]do|visto|popular)|tambi[ée]n le puede interesar|le puede interesar|lo [úu]ltimo (?:en|de)\b.{0,40}|[úu]ltimas noticias|art[íi]culos relacionados|m[áa]s (?:de|en)\b.{0,30})\s*:?$",
     "also": r"^(?:read (?:also|more|next)|see also|related(?: \w+)?|also on\b.{0,30}|more|[àa] lire(?: aussi)?|lire aussi|voir aussi|lesen sie auch|lesen sie (?:mehr|weiter)|mehr dazu|auch interessant|lea tambi[ée]n|lee tambi[ée]n|ver tambi[ée]n|relacionado)\s*[:>›»–-]",
     "cookie": r"(?:\b(?:we|this (?:site|website)|by continuing|your privacy|cookie (?:preferences|settings|policy|notice)|manage (?:choices|cookies)|accept (?:all|cookies)|nous (?:utilisons|conservons)|en poursuivant|vos donn[ée]es|votre vie priv[ée]e|param[ée]trer|tout (?:accepter|refuser)|wir (?:verwenden|nutzen|respektieren)|mit (?:der nutzung|ihrer zustimmung)|cookie-(?:einstellungen|hinweis)|alle (?:akzeptieren|ablehnen)|usamos cookies|utilizamos cookies|al (?:seguir|continuar) navegando|configurar cookies|aceptar (?:todo|todas)|su privacidad)\b.*(?:cookie|tracker|traceur|partner|partenaire|socios|privacy|choices|consent|einwilligung|datenverarbeitung|akzeptieren|accept|aceptar|rechazar|reject|settings|einstellungen|param[ée]trer|privacidad|vie priv[ée]e)|^(?:cookie preferences|cookie-einstellungen|configurar cookies|g[ée]rer (?:mes|les) cookies|param[èe]tres des cookies)\b)",
@@ -45,7 +45,7 @@ MENU = frozenset(
     "archiv preise märkte datenschutz impressum inicio noticias investigación mercados productos precios empleo contacto prensa ayuda tienda temas "
     "archivo acceder buscar suscribirse team jobs faq videos photos sports weather opinion culture services solutions docs community forum".split()
 )
-_STOP = frozenset("the this that and with from for you your our are have all more une les des nos mes der die das und sie von mit ein los las del para por con que una cet cette est han has not was sur plus zum zur aus bei auf sus your get can may one out use its den dem".split())
+_STOP = frozenset("the this that and with from for you your our are have all more les des nos mes der die das und sie von mit ein los las del para por con que una cet cette est han has not was sur plus zum zur aus bei auf sus your get can may one out use its den dem".split())
 
 
 def _keywords() -> frozenset[str]:
@@ -111,7 +111,7 @@ def _shape(t: str) -> str:
         return "menu"
     if _SENTENCE.search(t, max(0, len(t) - 8)):
         return "sentence" if n >= 5 else "phrase"
-    return "long" if n >= 13 else "heading" if n >= 3 else "name"
+    return "long" if n >= 10 else "heading" if n >= 3 else "name"
 
 
 _shape_short = lru_cache(maxsize=50_000)(_shape)

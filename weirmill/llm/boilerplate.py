@@ -37,6 +37,9 @@ _KINDS = {
     "script": r"(?:enable|allow|switch on|turn on|activate|requires?|needs?|necesita|n[ée]cessite|ben[öo]tigt|activer|activez|activar|active|activa|habilite|aktivieren|disabled|deaktiviert|d[ée]sactiv[ée]|desactivad[oa]|unsupported|not supported|blocked)\b.{0,60}\b(?:javascript|scripts?|skripte)|(?:javascript|scripts?|skripte)\b.{0,40}\b(?:enable|disabled|required|requis|erforderlich|necesario|aktivieren|deaktiviert|d[ée]sactiv[ée]|desactivad[oa]|blocked|bloqu[ée]s?|bloqueados?|blockiert|on before)",
 }
 _KIND = [(k, re.compile(p, re.I)) for k, p in _KINDS.items()]
+#: Patterns that begin at the line's begin are matched there only.
+_TEST = [(k, p.match if p.pattern.startswith("^") else p.search) for k, p in _KIND]
+_LEGAL = dict(_KIND)["legal"]
 #: Fixed value: words that menus consist of.
 MENU = frozenset(
     "home news research products labs about login podcasts topics help shop press search subscribe markets careers newsletter events support blog "
@@ -79,9 +82,9 @@ def _shape(t: str) -> str:
     words = _WORD.findall(low)
     if n <= 24 and (n < 5 or not _KEYWORDS.isdisjoint(words) or "©" in t):
         bare = t.strip(" \t[](){}<>*-–—:.·•|►▶→↑") if n <= 6 else t
-        for kind, p in _KIND:
-            if p.search(t) or (bare is not t and p.search(bare)):
-                if kind == "legal" and n > 7 and _SENTENCE.search(t) and len(p.findall(t)) < 2:
+        for kind, test in _TEST:
+            if test(t) or (bare is not t and test(bare)):
+                if kind == "legal" and n > 7 and _SENTENCE.search(t) and len(_LEGAL.findall(t)) < 2:
                     continue
                 return kind
     if _BULLET.match(t):

@@ -350,9 +350,11 @@ def page_furniture(items: DataFrame, pages: DataFrame, faulty: DataFrame) -> Dat
     ``faulty``: (row_no) of items to leave out. Pages count with status 200. Null and blank texts have no line; lines without
     visible text are in neither class. Extra columns are ignored; repeated rows give repeated lines.
     """
-    texts = items.filter(F.col("content").rlike(r"\S")).select("row_no", "content", F.coalesce("title", F.lit("")).alias("title"))
-    texts = texts.join(faulty.select("row_no").distinct(), "row_no", "left_anti")
-    a = texts.select(F.lit("webset_items").alias("table_name"), F.col("row_no").alias("rec_no"), F.explode(text_furniture("content", "title")).alias("line_no"))
+    texts = items.filter(F.col("content").rlike(r"\S"))
+    found = texts.select(F.col("row_no"), text_furniture(F.col("content"), F.coalesce("title", F.lit(""))).alias("lines"))
+    # joined after the model: only line numbers are shuffled, never texts
+    kept = found.join(faulty.select("row_no", F.lit(True).alias("faulty")).distinct(), "row_no", "left").filter(F.col("faulty").isNull())
+    a = kept.select(F.lit("webset_items").alias("table_name"), F.col("row_no").alias("rec_no"), F.explode("lines").alias("line_no"))
     htmls = pages.filter((F.col("status") == 200) & F.col("html").isNotNull())
     b = htmls.select(F.lit("fetch_results").alias("table_name"), F.col("fetch_no").alias("rec_no"), F.explode(html_furniture("html")).alias("line_no"))
     return a.unionByName(b)

@@ -185,6 +185,39 @@ def test_batches(spark, tmp_path):
     assert values(batch_dedup.batch_repeats(df.limit(0), none)) == []
 
 
+def test_pairs_are_complete(spark, monkeypatch):
+    """A paragraph's first text is near to none of the later ones, which are near to each other; compared with all pairs."""
+    import pyarrow as pa
+
+    random.seed(23)
+    words = [f"word{i}" for i in range(300)]
+    text = [random.choice(words) for _ in range(110)]
+    longer = text + [random.choice(words) for _ in range(90)]
+    changed = lambda n: ["other" if i % 40 == n else w for i, w in enumerate(text)]
+    rows = [{"batch_no": i + 1, "content": " ".join(w) + "."} for i, w in enumerate([longer, text, changed(3), changed(7), longer[80:], text[:60] + text[75:]])]
+    none = spark.createDataFrame([], "row_no long")
+    marks = batch_dedup.prints(items(spark, *rows), none)
+    held = {r.row_no: r.words for r in marks.collect()}
+    near = sorted((a, b) for a in held for b in held if a < b and batch_dedup.nearly_same(held[a], held[b]))
+    assert (2, 3) in near and not any(a == 1 for a, _ in near) and values(batch_dedup.near_links(marks)) == near
+    assert values(batch_dedup.batch_repeats(items(spark, *rows), none))[0] == (2, 3)
+    # one group, read in parts of any size, texts on both sides of a doubling of the parity bits
+    texts = [np.array([random.randrange(400) for _ in range(250)], np.uint16)]
+    for _ in range(60):
+        x = random.choice(texts).tolist()
+        for _ in range(random.randint(0, 30)):
+            x[random.randrange(len(x))] = random.randrange(400)
+        texts.append(np.array(x + [random.randrange(400) for _ in range(random.randint(0, 20))], np.uint16))
+    texts.sort(key=len)
+    rows = [{"key": 1, "n": len(t), "row_no": i, "bits": batch_dedup.parities(t)} for i, t in enumerate(texts)]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if batch_dedup.nearly_same(texts[i].tobytes(), texts[j].tobytes())}
+    for chunk in (1, 10, 1000):
+        monkeypatch.setattr(batch_dedup, "CHUNK", chunk)
+        parts = [pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)]
+        got = [(r["a"], r["b"]) for out in batch_dedup._pairs(iter(parts)) for r in out.to_pylist()]
+        assert near and near <= set(got) and len(got) == len(set(got))
+
+
 # p8
 
 

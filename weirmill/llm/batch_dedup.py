@@ -2,8 +2,8 @@
 
 Each text becomes its normalised main body: an exact hash of its words, and hashes of its paragraphs, which are content-defined
 runs of words (so moved line ends, changed spacing and punctuation leave them alone). A batch is compared only through these
-hashes, joined within buckets: equal exact hashes are full copies; a row that shares enough paragraphs with the first row that
-had them is checked word by word. Then the batch's hashes are appended. Texts of the history are never read again, only the
+hashes, joined within buckets: equal exact hashes are full copies; any two texts that share a paragraph, and whose lengths and
+word parities allow near equality, are checked word by word. Then the batch's hashes are appended. Texts of the history are never read again, only the
 word numbers of the few rows a paragraph hash leads to.
 """
 
@@ -17,6 +17,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from weirmill.functions.text import key_text, strip
 from weirmill.llm import boilerplate
 from weirmill.llm.survivors import page_key
 from weirmill.operators.components import shared_group_classes
-from weirmill.operators.skew import MAX_HOT, lookup_join
+from weirmill.operators.skew import lookup_join
 from weirmill.session import stored
 
 #: Share of the longer text's words that must agree in order.
@@ -34,8 +35,10 @@ NEAR = 0.9
 RUN, SHORT = 8, 128
 #: Buckets of the hash tables.
 BUCKETS = 64
-#: A pair is checked if it shares at least this share of the later text's paragraphs.
-LEAST_COVERAGE = 0.1
+#: Rows of one paragraph join that are held at once; a longer group is worked off in parts.
+CHUNK = 200_000
+#: Parity bits of texts under 256 words; twice as many for each doubling of the words, up to BITS << TOP_LEVEL.
+BITS, TOP_LEVEL = 128, 5
 
 _WORD = re.compile(r"\w+")
 
@@ -164,31 +167,102 @@ def prints(items: DataFrame, faulty: DataFrame) -> DataFrame:
     return marks.select("row_no", "batch_no", "page", "stated", "p.*").withColumn("bucket", F.pmod("row_no", F.lit(BUCKETS)).cast("int"))
 
 
+def parities(words: np.ndarray) -> bytes:
+    """Bit k: whether the words of class k are odd in number. A word added or taken away changes one bit."""
+    size = BITS << min(max(len(words).bit_length() - 8, 0), TOP_LEVEL)
+    mixed = words.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return np.packbits(np.bincount((mixed >> np.uint32(16)) % np.uint32(size), minlength=size) & 1 == 1).tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def _parities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for words in batches:
+        yield words.map(lambda w: parities(np.frombuffer(w, np.uint16)))
+
+
+def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of rows with one key that may be nearly the same; the rows are ordered by key and n.
+
+    Left out are only pairs that cannot be: if NEAR of the n_j >= n_i words agree in order, at most
+    n_i + n_j - 2 * ceil(NEAR * n_j) words are added or taken away, and no more parity bits differ. Pairs of the first ``old``
+    rows are left out.
+    """
+    level = np.array([(len(b) * 8 // BITS).bit_length() - 1 for b in bits], np.int64)
+    found = []
+    for at in np.unique(level):
+        width = (BITS << at) // 64
+        mine = np.flatnonzero((level == at) | (level == at + 1))
+        place = np.full(len(key), -1)
+        place[mine] = np.arange(len(mine))
+        table = np.empty((len(mine), width), np.uint64)
+        same = level[mine] == at
+        table[same] = np.frombuffer(b"".join(bits[i] for i in mine[same]), np.uint64).reshape(-1, width)
+        if not same.all():  # longer texts: the same class of a word modulo half as many, so both halves are one
+            twice = np.frombuffer(b"".join(bits[i] for i in mine[~same]), np.uint64).reshape(-1, 2 * width)
+            table[~same] = twice[:, :width] ^ twice[:, width:]
+        i = np.flatnonzero(level == at)
+        for shift in range(1, len(key)):
+            i = i[i + shift < len(key)]
+            i = i[(key[i + shift] == key[i]) & (n[i] >= NEAR * n[i + shift] - 1e-9)]
+            if not len(i):
+                break
+            first = i[i + shift >= old]
+            j = first + shift
+            apart = np.zeros(len(first), np.int64)
+            x, y = place[first], place[j]
+            for k in range(width):
+                apart += np.bitwise_count(table[x, k] ^ table[y, k])
+            ok = apart <= n[first] + n[j] - 2 * np.ceil(NEAR * n[j] - 1e-9)
+            if ok.any():
+                found.append((first[ok], j[ok]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one key; of a group that goes on, the rows that later, longer ones may be near to are carried over."""
+    held: list[pa.RecordBatch] = []
+    old = 0
+
+    def work() -> pa.RecordBatch:
+        nonlocal held, old
+        all_rows = pa.Table.from_batches(held)
+        key, n, row_no = (all_rows[c].to_numpy() for c in ("key", "n", "row_no"))
+        i, j = close_pairs(key, n, all_rows["bits"].to_pylist(), old)
+        pairs = np.unique(np.stack([np.minimum(row_no[i], row_no[j]), np.maximum(row_no[i], row_no[j])]), axis=1)
+        rest = np.flatnonzero((key == key[-1]) & (n >= NEAR * n[-1] - 1e-9))
+        held, old = all_rows.slice(rest[0]).to_batches(), len(rest)
+        return pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(h.num_rows for h in held) - old >= CHUNK:
+                yield work()
+    if sum(h.num_rows for h in held) > old:
+        yield work()
+
+
 def near_links(marks: DataFrame) -> DataFrame:
     """(a, b): first rows of texts that are nearly the same, a < b.
 
-    Each paragraph, and each stated hash, leads from the texts that have it to the first text that had it; pairs with enough of
-    them are checked word by word. Equal texts stand for themselves once, by their first row.
+    All texts that share a paragraph, or a stated hash, are paired; the pairs that length and parity bits do not rule out are
+    checked word by word. Equal texts stand for themselves once, by their first row.
     """
     texts = marks.filter(F.col("exact").isNotNull())
     first = texts.groupBy("exact").agg(F.min("row_no").alias("row_no"))
     reps = texts.join(first, ["exact", "row_no"], "left_semi")
-    units = reps.select("row_no", F.size("paragraphs").alias("n"), F.explode("paragraphs").alias("key")).unionByName(
-        reps.filter(F.col("stated").isNotNull()).select("row_no", F.lit(0).alias("n"), F.xxhash64("stated").alias("key"))
-    )
-    heads = units.groupBy("key").agg(F.min("row_no").alias("a"), F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1")
-    hot = heads.orderBy(F.desc("n_texts"), "key").limit(MAX_HOT)
-    led = lookup_join(units, heads.select("key", "a"), ["key"], hot.select("key", "a")).filter(F.col("a") < F.col("row_no"))
-    pairs = led.groupBy("a", F.col("row_no").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.min("n").alias("least_n"))
-    enough = (F.col("least_n") == 0) | (F.col("shared") >= LEAST_COVERAGE * F.col("n"))
-    pairs = stored(pairs.filter(enough).select("a", "b"), "pairs")
+    stated = F.array_compact(F.array(F.when(F.col("stated").isNotNull(), F.xxhash64("stated"))))
+    keys = F.array_distinct(F.concat(stated, F.coalesce("paragraphs", F.array().cast("array<bigint>"))))
+    units = reps.select("row_no", (F.octet_length("words") / 2).cast("long").alias("n"), _parities("words").alias("bits"), keys.alias("keys"))
+    units = units.select(F.explode("keys").alias("key"), "row_no", "n", "bits")
+    near_ones = units.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a long, b long")
+    pairs = stored(near_ones.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
     words = stored(reps.select("row_no", "words").join(wanted, "row_no", "left_semi"), "words")
     both = pairs.join(words.select(F.col("row_no").alias("a"), F.col("words").alias("x")), "a").join(
         words.select(F.col("row_no").alias("b"), F.col("words").alias("y")), "b"
     )
-    close = F.least(F.octet_length("x"), F.octet_length("y")) >= NEAR * F.greatest(F.octet_length("x"), F.octet_length("y"))
-    return both.filter(close).filter(_same("x", "y")).select("a", "b")
+    return both.filter(_same("x", "y")).select("a", "b")
 
 
 def repeats(marks: DataFrame) -> DataFrame:

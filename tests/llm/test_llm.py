@@ -218,6 +218,22 @@ def test_pairs_are_complete(spark, monkeypatch):
         assert near and near <= set(got) and len(got) == len(set(got))
 
 
+def test_history_keeps_first_rows(spark, tmp_path):
+    """Links through rows that share nothing with the new batch: the same (first_no, row_no) batch by batch as in one pass."""
+    random.seed(29)
+    one, two, three, four = (" ".join(f"{c}{random.randrange(500)}" for _ in range(60)) for c in "abcd")
+    rows = [
+        {"batch_no": 1, "url": "http://a/p", "content": one}, {"batch_no": 2, "url": "http://a/p", "content": two}, {"batch_no": 3, "url": "http://a/q", "content": two},
+        {"batch_no": 3, "url": "http://a/r", "content": three}, {"batch_no": 4, "url": "http://a/q", "content": three}, {"batch_no": 5, "url": "http://a/r", "content": four},
+        {"batch_no": 6, "url": "http://a/s", "content": four}, {"batch_no": 6, "url": "http://a/t", "content": None},
+    ]
+    df, none = items(spark, *rows), spark.createDataFrame([], "row_no long")
+    history, found = batch_dedup.History(spark, str(tmp_path / "h")), []
+    for b in range(1, 7):
+        found += values(history.check_and_append(df.filter(F.col("batch_no") == b), none))
+    assert sorted(found) == values(batch_dedup.batch_repeats(df, none)) == [(1, 2), (1, 3), (1, 5), (1, 6), (1, 7)]
+
+
 # p8
 
 

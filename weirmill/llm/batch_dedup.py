@@ -265,12 +265,18 @@ def near_links(marks: DataFrame) -> DataFrame:
     return both.filter(_same("x", "y")).select("a", "b")
 
 
-def repeats(marks: DataFrame) -> DataFrame:
+def repeats(marks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(first_no, row_no): rows of ``marks`` that repeat a row of an earlier batch, and the first row of all that repeat it.
 
     Two rows repeat each other if they have one page, or nearly the same text; first_no is the smallest row reached over such
-    links. A row whose links lead only into its own batch is none.
+    links. A row whose links lead only into its own batch is none. ``known``: (node, label), the first rows found before.
     """
+    late, classes = _late_and_classes(marks, known)
+    return late.join(classes, "node").filter(F.col("label") < F.col("node")).select(F.col("label").alias("first_no"), F.col("node").alias("row_no"))
+
+
+def _late_and_classes(marks: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(node) of the rows that repeat a row of an earlier batch, and (node, label) of all linked rows."""
     near = stored(near_links(marks), "near")
     texts = marks.filter(F.col("exact").isNotNull()).select("row_no", "batch_no", "exact")
     pages = marks.filter(F.col("page").isNotNull()).select("row_no", "batch_no", "page")
@@ -293,36 +299,65 @@ def repeats(marks: DataFrame) -> DataFrame:
         "groups",
     )
     pairs = near.select(F.concat_ws("-", F.lit("n"), "a", "b").alias("group"), F.explode(F.array("a", "b")).alias("node"))
-    classes = shared_group_classes(groups.select("node", "group").unionByName(pairs.select("node", "group")))
-    late = groups.filter(F.col("first_batch") < F.col("batch_no")).select("node").distinct()
-    return late.join(classes, "node").filter(F.col("label") < F.col("node")).select(F.col("label").alias("first_no"), F.col("node").alias("row_no"))
+    members = groups.select("node", "group").unionByName(pairs.select("node", "group"))
+    if known is not None:
+        members = members.unionByName(known.select(F.concat(F.lit("k"), F.col("label")).alias("group"), F.explode(F.array("node", "label")).alias("node")))
+    return groups.filter(F.col("first_batch") < F.col("batch_no")).select("node").distinct(), shared_group_classes(members)
 
 
 class History:
-    """Hash tables of all rows seen so far, in a folder all executors share; one sub-folder a bucket."""
+    """Hash tables of all rows seen so far, in a folder all executors share; one sub-folder a bucket.
+
+    A row's first row is kept with it: `firsts` has (row_no, label) where a row or a first row was found to have an earlier one,
+    so links through history rows that share nothing with a new batch are not lost. A batch that joins two classes appends
+    one line for the later first row, which is followed when labels are read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.empty = spark, folder.rstrip("/"), True
+        self.spark, self.folder, self.empty, self.labelled = spark, folder.rstrip("/"), True, False
 
     def check_and_append(self, batch: DataFrame, faulty: DataFrame) -> DataFrame:
         """(first_no, row_no) of the batch's rows that repeat a row of an earlier batch; then the batch's hashes are appended.
 
         Only history rows that share a page, an exact or stated hash or a paragraph with the batch are read beyond their keys:
-        semi-joins within the buckets of the keys select them.
+        semi-joins within the buckets of the keys select them. first_no is the first row known with this batch; what a later
+        batch joins does not change it.
         """
         new = stored(prints(batch, faulty), "batch")
-        marks = new
+        marks, known = new, None
         if not self.empty:
             keys = self.spark.read.parquet(f"{self.folder}/keys")
             hit = keys.join(_keys(new).select("key_bucket", "key").distinct(), ["key_bucket", "key"], "left_semi").select("row_no").distinct()
-            old = self.spark.read.parquet(f"{self.folder}/prints").join(hit.withColumn("bucket", F.pmod("row_no", F.lit(BUCKETS)).cast("int")), ["bucket", "row_no"], "left_semi")
-            marks = new.unionByName(old.select(new.columns))
-        found = stored(repeats(marks).join(new.select("row_no"), "row_no", "left_semi").select("first_no", "row_no"), "found")
+            hit = stored(hit.withColumn("bucket", F.pmod("row_no", F.lit(BUCKETS)).cast("int")), "hit")
+            old = self.spark.read.parquet(f"{self.folder}/prints").join(hit, ["bucket", "row_no"], "left_semi")
+            marks = stored(new.unionByName(old.select(new.columns)), "marks")
+            known = self._known(hit.select(F.col("row_no").alias("node"))) if self.labelled else None
+        late, classes = _late_and_classes(marks, known)
+        classes = stored(classes.filter(F.col("label") < F.col("node")), "classes")
+        found = late.join(classes, "node").select(F.col("label").alias("first_no"), F.col("node").alias("row_no"))
+        found = stored(found.join(new.select("row_no"), "row_no", "left_semi").select("first_no", "row_no"), "found")
+        labels = classes if known is None else classes.join(known, ["node", "label"], "left_anti")
+        labels = labels.select(F.col("node").alias("row_no"), "label", F.pmod("node", F.lit(BUCKETS)).cast("int").alias("bucket"))
+        labels.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/firsts")
+        self.labelled = self.labelled or bool(classes.limit(1).count())
         _keys(new).repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(f"{self.folder}/keys")
         new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/prints")
         self.empty = False
         return found
 
+    def _known(self, front: DataFrame) -> DataFrame:
+        """(node, label): what is kept of the nodes, of their first rows, and so on; each step leads to smaller rows, so it ends."""
+        firsts = self.spark.read.parquet(f"{self.folder}/firsts").select(F.col("row_no").alias("node"), "label", "bucket")
+        out, seen = None, front
+        while True:
+            wanted = front.withColumn("bucket", F.pmod("node", F.lit(BUCKETS)).cast("int"))
+            step = stored(firsts.join(wanted, ["bucket", "node"], "left_semi").select("node", "label").distinct(), "known")
+            out = step if out is None else out.unionByName(step)
+            front = stored(step.select(F.col("label").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+            if front.isEmpty():
+                return out
+            seen = seen.unionByName(front)
+
 
 def _keys(marks: DataFrame) -> DataFrame:
     """(row_no, key, key_bucket): every hash by which a row can be found."""
@@ -334,7 +369,9 @@ def _keys(marks: DataFrame) -> DataFrame:
 
 
 def batch_repeats(items: DataFrame, faulty: DataFrame) -> DataFrame:
-    """The repeats of all batches in one pass over the hash tables: the same rows as checking one batch after the other.
+    """The repeats of all batches in one pass, without stored tables: the rows ``History`` finds one batch after the other.
+
+    first_no is the first row of all batches; History's is the first row known with the row's own batch.
 
     Null urls, contents and hashes link nothing; repeated rows of one batch are no case by themselves. Extra columns are ignored.
     """

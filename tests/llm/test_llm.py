@@ -282,6 +282,19 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets, "doc_id", "source", F.col("n"))[0].count() == 0
 
 
+def test_mix_tempers(spark):
+    docs = spark.createDataFrame([(i, "abbbbbbb"[i % 8], 10) for i in range(800)], "doc_id long, source string, n long")
+    none = spark.createDataFrame([], "source string, target_share double, max_repeats int")
+    even = mixing.mix(docs, none, "doc_id", "source", F.col("n"), wanted_entropy=0.6)[1]
+    weights = {r.source: r.weight for r in even.collect()}
+    assert mixing.entropy(weights) == pytest.approx(0.6, abs=1e-6) and even.agg(F.min("n_draws")).first()[0] > 0
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    draws, report = mixing.mix(docs, targets, "doc_id", "source", F.col("n"), 8000)  # plain targets end at 4,000
+    got = {r.source: (r.drawn_tokens, r.target_share) for r in report.collect()}
+    assert got["a"][0] == pytest.approx(2000, abs=20) and got["b"][0] == pytest.approx(6000, abs=20) and got["a"][1] == 0.5
+    assert draws.groupBy("doc").count().agg(F.max("count")).first()[0] <= 2 and "p9_tempered" in QUERIES
+
+
 # p10
 
 NAMES = [("Velandra", "given"), ("Velemo", "given"), ("Polack", "family"), ("Polovck", "family"), ("Rose", "given"), ("Page", "family"), ("Marack", "family"), ("Marovck", "family"), ("Selandra", "given"), ("Selemo", "given")]

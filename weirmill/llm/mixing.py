@@ -104,7 +104,7 @@ def source_sizes(docs: DataFrame, targets: DataFrame, source: str, size: str) ->
     rows = sizes.join(wanted, "name", "full").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    return sorted((Source(r.name, int(r.tokens or 0), float(r.target or 0.0), int(r.max_repeats if r.max_repeats is not None else 1)) for r in rows), key=lambda s: s.name)
+    return sorted((Source(r.name, int(r.tokens or 0), None if r.target is None else float(r.target), int(r.max_repeats if r.max_repeats is not None else 1)) for r in rows), key=lambda s: s.name)
 
 
 def sized_blocks(docs: DataFrame, doc: str, source: str, size: Column, seed: int) -> DataFrame:
@@ -115,20 +115,21 @@ def sized_blocks(docs: DataFrame, doc: str, source: str, size: Column, seed: int
     ).withColumns({"block": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc")), F.lit(BLOCKS)).cast("int"), "place": F.xxhash64(F.lit(seed), F.col("doc"))})
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: Column, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: Column, total: int | None = None, seed: int = 17, wanted_entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(draws, report).
 
     draws: (doc, source, tokens, epoch), a row for each time a document is drawn, never more than max_repeats times. report:
     (source, own_tokens, target_share, weight, budget, drawn_tokens, n_draws, reached_share), a row for each source that has
-    documents or a target; a source without documents reaches 0, one without a target is not drawn. Every source ends within one
+    documents or a target; a source without documents reaches 0, one without a target is not drawn, unless no source has one:
+    then the sources' own shares are tempered to ``wanted_entropy``. Every source ends within one
     document of its budget. Documents without source or tokens are not drawn. ``doc`` must be unique; the result is the same for
     the same input and seed.
     """
     spark = docs.sparkSession
     rows = stored(sized_blocks(docs, doc, source, size, seed), "sized")
     sources = source_sizes(rows, targets, "source", "tokens")
-    share, budget_all, _ = weights(sources, total)
-    budgets = [(s.name, s.tokens, s.target, share.get(s.name, 0.0), int(budget_all * share.get(s.name, 0.0))) for s in sources]
+    share, budget_all, _ = weights(sources, total, wanted_entropy)
+    budgets = [(s.name, s.tokens, s.target or 0.0, share.get(s.name, 0.0), int(budget_all * share.get(s.name, 0.0))) for s in sources]
     wanted = spark.createDataFrame(budgets, "source string, own_tokens long, target_share double, weight double, budget long")
     goal = F.broadcast(wanted.filter("budget > 0").select("source", "own_tokens", "budget"))  # at most MAX_SOURCES rows
     # epochs: 0 .. full - 1 take everything, epoch `full` takes blocks in its own order up to what is left

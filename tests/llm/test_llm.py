@@ -149,6 +149,17 @@ def test_faulty_fields(spark):
     assert values(residue.real_items(df).select("row_no")) == [(3,), (4,), (5,)] and values(residue.faulty_fields(df.limit(0))) == []
 
 
+def test_recurrent_evidence_is_subtracted(spark):
+    real = "In report {} the team measured nine samples over two weeks and wrote the results of part {} down for the board."
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega"]
+    rows = [{"url": f"http://a.b/{w}", "content": real.format(w, w) + "\n© {{year}} All rights reserved"} for w in words]
+    rows += [{"url": f"http://a.b/own-{w}", "content": f"Of {w} {{{{ count }}}} samples\n" + real.format(w, "one")} for w in words[:2]]
+    rows += [{"url": "http://a.b/only", "content": "© {{year}} All rights reserved"}]
+    assert values(residue.faulty_contents(items(spark, *rows))) == [(8,), (9,), (10,)]
+    assert not residue.content_evidence("Nine of ten samples.\nPlease enable JavaScript.", "", [1])
+    assert residue.content_evidence("Access denied\nRay ID: 12ab", "", [0])
+
+
 # p7
 
 

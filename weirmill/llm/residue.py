@@ -3,7 +3,7 @@
 Lines are counted by host over all records (distinct texts, so copies of one page count once); lines that recur on a host, and
 furniture found by the page model, are subtracted. What is left decides: unfilled placeholders and filler count wherever the
 page's own text has them, unless the sentence talks about them; error, waiting and script notices count if the residual holds no
-real text beside them.
+real text beside them. Subtracted lines are evidence only of pages that hold nothing else.
 """
 
 from __future__ import annotations
@@ -189,12 +189,14 @@ def content_evidence(text: str | None, title: str | None, recurrent: list[int])
     if not found:
         return False
     skip = set(recurrent) | set(boilerplate.furniture_lines(text, title))
-    if {"placeholder", "filler"} & set(found.values()):
+    own = {e for i, e in found.items() if i not in skip}
+    if {"placeholder", "filler"} & own:
         return True
+    left = [line for i, line in enumerate(lines) if i not in found and i not in skip and line.strip() and not _RE["beside"].match(line.strip())]
+    if not own:
+        return not left  # subtracted evidence counts only if the page has nothing else
     real = 0
-    for i, line in enumerate(lines):
-        if i in found or i in skip or _RE["beside"].match(line.strip()):
-            continue
+    for line in left:
         n = len(_WORDS.findall(line))
         if n >= LONG_WORDS or (n >= SENTENCE_WORDS and re.search(r"[.!?…][\"'”’»)\]]*\s*$", line)):
             real += n

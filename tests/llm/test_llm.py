@@ -160,6 +160,12 @@ def test_recurrent_evidence_is_subtracted(spark):
     assert residue.content_evidence("Access denied\nRay ID: 12ab", "", [0])
 
 
+def test_long_recurrent_lines_are_subtracted(spark):
+    legal = "We and our partners store and read data on your device in order to measure how these pages are used by readers. " * 4
+    rows = [{"url": f"http://a.b/{i}", "content": f"503 Service Unavailable\nReference {w}\n{legal}"} for i, w in enumerate(["alpha", "beta", "gamma", "delta", "kappa", "sigma"])]
+    assert values(residue.faulty_contents(items(spark, *rows, {"url": "http://c.d/1", "content": f"503 Service Unavailable\n{legal}"}))) == [(i,) for i in range(1, 7)]
+
+
 # p7
 
 

@@ -27,7 +27,7 @@ from weirmill.session import stored
 LEAST_TEXTS, LEAST_SHARE = 5, 0.05
 #: A residual line is real text from this many words on, if it ends a sentence; without an end it takes more.
 SENTENCE_WORDS, LONG_WORDS = 5, 12
-#: A longer line is a paragraph, not a notice: messages are looked for in shorter lines only, and only those are counted by host.
+#: A longer line is a paragraph, not a notice: messages are looked for in shorter lines only.
 NOTICE_LENGTH = 300
 #: So many words of real text make a real page.
 REAL_WORDS = 15
@@ -226,11 +226,11 @@ def _host(url: Column) -> Column:
 
 
 def _line_keys(text: Column) -> Column:
-    """Digests of a text's lines without case, digits and extra white space; null for lines that are too long for a notice."""
+    """Digests of a text's lines without case, digits and extra white space."""
 
     def key(line: Column) -> Column:
         normal = F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), f"[{WHITE_CLASS}]+", " ")
-        return F.when(F.length(line) <= NOTICE_LENGTH, F.xxhash64(F.trim(normal)))
+        return F.xxhash64(F.trim(normal))
 
     return F.transform(F.split(text, "\n"), key)
 

@@ -137,6 +137,11 @@ def test_feeds():
     assert [(e["show"], e["title"], e["audio"]) for e in read_feed(feed)] == [("S", "E", "a.mp3")] and read_feed("<broken") == []
 
 
+def test_depths_of_long_chains(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"d{i - 1}" if i else None, i) for i in range(69)], "id string, parent_id string, at long")
+    assert {r.id: r.depth for r in graph.lineage_depths(docs, "id", "parent_id", "at").collect()} == {f"d{i}": i for i in range(69)}
+
+
 def test_rate_limits(spark):
     assert monitor.token_bucket([0, 0, 0, 10], 0.1, 2) == [True, True, False, True]
     df = spark.createDataFrame([(0,), (2,), (20,)], "n long")

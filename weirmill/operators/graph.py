@@ -81,18 +81,21 @@ def lineage(nodes: DataFrame, key: str, parent: str, starts: DataFrame, most: in
     return out.drop("up")
 
 
-def lineage_depths(nodes: DataFrame, key: str, parent: str, order: str, most: int = MAX_LINEAGE) -> DataFrame:
-    """(key, depth) on insertion in order: 0 without parent, the parent's depth + 1 if it came before, 1 if it is unknown."""
+def lineage_depths(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
+    """(key, depth) on insertion in order: 0 without parent, the parent's depth + 1 if it came before, 1 if it is unknown.
+
+    Chains may be of any depth: a parent came before its child, so each round places rows until none are left.
+    """
     rows = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(order).alias("at"))
     before = rows.select(F.col("id").alias("up"), F.col("at").alias("up_at"), F.lit(True).alias("known"))
     linked = rows.join(before, "up", "left").withColumn("root", F.when(F.col("up").isNull(), F.lit(0)).when(F.col("known") & (F.col("up_at") < F.col("at")), None).otherwise(1))
     done = stored(linked.filter("root is not null").select("id", F.col("root").alias("depth")), "depths")
     left = stored(linked.filter("root is null").select("id", "up"), "depths")
     out = done
-    for _ in range(most):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         done = stored(left.join(done.select(F.col("id").alias("up"), "depth"), "up").select("id", (F.col("depth") + 1).alias("depth")), "depths")
+        if done.isEmpty():
+            raise RuntimeError("rows whose parents are never placed")
         left = stored(left.join(done.select("id"), "id", "left_anti"), "depths")
         out = out.unionByName(done)
     return out

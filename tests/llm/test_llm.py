@@ -328,6 +328,14 @@ def test_personal(text, expected):
     assert [(k, text[a:b]) for k, a, b in pii.find_personal(text, pii.Words(NAMES))] == expected
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("Her NI number QQ 12 34 56 C was on file.", ("id_number", "QQ 12 34 56 C")), ("Her papers:\nCNI 12AB34567", ("id_number", "12AB34567")), ("She gave (NIE X1234567L) at the desk.", ("id_number", "X1234567L")),
+    ("Vive en Calle Mayor, nº12 desde 2001.", ("address", "Calle Mayor, nº12")), ("Vive en C/ Mayor,12 desde 2001.", ("address", "C/ Mayor,12")),
+])
+def test_candidates_are_not_gated(text, expected):
+    assert [(k, text[a:b]) for k, a, b in pii.find_personal(text, pii.Words(NAMES))] == [expected]
+
+
 def test_redaction(spark):
     names = spark.createDataFrame([*NAMES, (None, "given"), ("X", None)], "name_word string, role string")
     docs = spark.createDataFrame([(1, "Mail v@lab.example now", 9), (2, None, 9), (3, "", 9), (4, "a " * 50_000 + "v@lab.example", 9)], "doc_id long, text string, kind int")

@@ -41,11 +41,6 @@ _ID_CUE = re.compile(
     r"\bdni\b|\bnie\b|\bnif\b|\bnir\b|s[ée]curit[ée] sociale|num[ée]ro fiscal|carte (?:nationale )?d.identit[ée]|\bcni\b|\binsee\b|steuer|\bidnr\b|\bausweis|personalausweis|sozialversicherung|rentenversicherung|seguridad social|n[úu]mero de (?:identidad|identificaci[óo]n)|documento|identificaci[óo]n fiscal|number and)[^\n]{0,30}$",
     re.I,
 )
-#: A text without any of these names no identity number.
-_ID_WORDS = (
-    "ssn", "social", "insurance", "nino", "tax", " tin ", " itin ", "pass", "pasaporte", "identi", "id card", "id no", "id number", "id:", "national id", "dni", " nie ", " nie:", "nif", "nir ", "nir:", "fiscal",
-    " cni ", "insee", "steuer", "idnr", "ausweis", "versicherung", "document", "number and", "signed", "signé", "firmó", "unterschr",
-)
 _ID_AFTER = re.compile(r"^[^\n]{0,4}(?:as (?:her|his|their) (?:ssn|tax|passport|id|national)|,? ?(?:signed|a sign[ée]|hat .{0,20}unterschr|firm[óo]))", re.I)
 _NOT_CUE = re.compile(
     r"(?:\bisbn\b|\bissn\b|\bdoi\b|version|versi[óo]n|\bv\.?$|\bbuild\b|\border\b|commande|bestellung|pedido|\bpart no|\bpages?\b|seiten?\b|p[áa]ginas?|\bvolume\b|\bband\b|\bgrant\b|invoice|\brun\b|\bitem\b|\bat \d|latitude|longitude|coordinates?|\bref\b|figure|table|ticket|\bip\b|\breads\b|reemplaza|remplace|ersetzt|sustituye|tracking|serial|model|\bkB\b|\blot\b|patent)[^\n]{0,14}$",
@@ -111,7 +106,7 @@ def address_spans(text: str) -> list[tuple[int, int, bool]]:
         begin = max(0, a - 60)
         cut = text.rfind("\n", begin, a)
         before = text[cut + 1 if cut >= 0 else begin : a]
-        if before[-1:] in (" ", "/") and _may_name(before):
+        if before[-1:] in (" ", "/", "º", "°", "o", ".", ",") and _may_name(before):
             rest = _REST.match(text, a)
             hit = _NAME_FIRST.search(before)
             if rest and hit:
@@ -322,8 +317,7 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
             out.append(("email", m.start(), m.end(), {"at_sign": plain, "file_end": bool(_FILE_END.search(s)), "domain_parts": len(re.split(_DOT, domain)), "digits": sum(c.isdigit() for c in domain)}))
             emails.append(m.span())
             break
-    named = any(w in low for w in _ID_WORDS)
-    for p, lettered in ((_NUMBER, False), (_ALNUM, True)) if named else ((_NUMBER, False),):
+    for p, lettered in ((_NUMBER, False), (_ALNUM, True)):
         for m in p.finditer(text):
             s = m[0]
             if len(s) < 6:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirmill.functions.urls import canonical_url
 from weirmill.operators import graph, lexical, monitor, rerank, textops as X, vector
-from weirmill.operators.components import shared_group_classes
+from weirmill.operators.components import linked_classes
 from weirmill.operators.references import orphan_references
 from weirmill.operators.skew import lookup_join
 from weirmill.sources.html import duration_seconds, read_feed, read_page
@@ -59,7 +59,7 @@ def test_components_and_chains(spark):
     edges = spark.createDataFrame(pairs + [(None, 3)], "src long, dst long")
     got = dict(values(graph.components(edges), "node", "component"))
     assert {got[i] for i in range(1, 41)} == {1} and got[100] == got[101] == 100
-    assert shared_group_classes(spark.createDataFrame([], "node long, group string")).count() == 0
+    assert linked_classes(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_paths_neighbours_lineage(spark):

@@ -1,35 +1,35 @@
-"""Classes of nodes that share groups, by minimum labels."""
+"""Classes of linked nodes, by minimum labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmill.operators.skew import lookup_join
+from weirmill.operators.skew import hot_keys, lookup_join
 from weirmill.session import stored
 
 #: A class joined by a chain longer than 2 ** MAX_ROUNDS hops would be left split; an error is raised instead.
 MAX_ROUNDS = 40
 
 
-def shared_group_classes(members: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable from each node through shared groups.
+def linked_classes(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable from each node over the links ``edges`` (src, dst), in both directions.
 
-    ``members``: (node, group), a node in any number of groups, a group with any number of nodes; null nodes and groups are
-    left out. A round takes the minimum label of each group (combined before the shuffle) and hands it to the group's nodes
-    (hot groups by a bounded broadcast), then jumps to the label's own label. Each round's labels are written to the shared
-    folder, so the plan stays short and a lost executor costs one round at most.
+    Links with a null end and from a node to itself are left out. A round takes the least label of each node's neighbours (combined
+    before the shuffle; the labels of the most linked nodes come by a bounded broadcast), then jumps to the label's own label. Each
+    round's labels are written to the shared folder, so the plan stays short and a lost executor costs one round at most.
     """
-    members = stored(members.dropna().distinct(), "members")
-    labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    ends = F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
+    links = stored(edges.filter("src <> dst").select(ends).distinct(), "links")
+    labels = stored(links.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    hot = stored(hot_keys(links, ["other"]), "hot")
     for _ in range(MAX_ROUNDS):
-        least = members.join(labels, "node").groupBy("group").agg(F.min("label").alias("least"))
-        seen = lookup_join(members, least, ["group"]).groupBy("node").agg(F.min("least").alias("seen"))
-        jump = labels.select(F.col("node").alias("seen"), F.col("label").alias("jump"))
-        step = seen.join(jump, "seen", "left").select("node", F.least("seen", F.coalesce("jump", "seen")).alias("label"))
-        after = stored(step, "labels")
-        changed = after.join(labels.withColumnRenamed("label", "before"), "node").filter(F.col("label") != F.col("before")).limit(1).count()
-        labels = after
-        if not changed:
+        near = labels.select(F.col("node").alias("other"), "label")
+        least = lookup_join(links, near, ["other"], near.join(F.broadcast(hot), "other", "left_semi")).groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(least, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("near"))
+        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        after = stored(step.join(jump, "near", "left").select("node", F.least("near", "far").alias("label"), "before"), "labels")
+        labels = after.select("node", "label")
+        if after.filter("label <> before").isEmpty():
             return labels
     raise RuntimeError("labels still change; raise MAX_ROUNDS")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmill.operators.components import shared_group_classes
+from weirmill.operators.components import linked_classes
 from weirmill.session import stored
 
 #: Longest lineage that is followed.
@@ -60,8 +60,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component with two nodes or more."""
-    pairs = edges.filter("src is not null and dst is not null and src <> dst").select(F.concat_ws("-", F.least("src", "dst"), F.greatest("src", "dst")).alias("group"), F.explode(F.array("src", "dst")).alias("node"))
-    return shared_group_classes(pairs.select("node", "group")).withColumnRenamed("label", "component")
+    return linked_classes(edges).withColumnRenamed("label", "component")
 
 
 def lineage(nodes: DataFrame, key: str, parent: str, starts: DataFrame, most: int = MAX_LINEAGE) -> DataFrame:

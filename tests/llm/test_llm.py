@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from weirmill.llm import batch_dedup, boilerplate, boilerplate_train, mixing, packing, pii, pii_train, residue, site_lines, splitting, survivors
+from weirmill.llm import batch_dedup, boilerplate, boilerplate_train, hashing, mixing, packing, pii, pii_train, residue, scan, site_lines, splitting, survivors
 from weirmill.llm.queries import ORACLE, QUERIES
 from weirmill.tables import table
 
@@ -65,7 +65,7 @@ def test_furniture_table(spark):
     df = items(spark, {"content": "Home | News | About\nThe team measured nine samples over two weeks and wrote it down."}, {"content": None}, {"content": "Back to top"})
     pages = spark.createDataFrame([(1, 200, "<footer>Back to top</footer>", 1), (2, 404, "<footer>Back to top</footer>", 1), (3, 200, None, 1)], "fetch_no long, status int, html string, row_no int")
     faulty = spark.createDataFrame([(3,), (3,)], "row_no long")
-    assert values(boilerplate.page_furniture(df, pages, faulty)) == [("fetch_results", 1, 0), ("webset_items", 1, 0)]
+    assert values(boilerplate.page_furniture(scan.scanned(df, furniture=True), pages, faulty)) == [("fetch_results", 1, 0), ("webset_items", 1, 0)]
 
 
 def test_field_learns():
@@ -77,6 +77,15 @@ def test_field_learns():
     assert all(chain.decode(units) == labels for units, labels in pages[40:]) and chain.decode([]) == []
 
 
+def test_long_notices():
+    notice = "We and our 142 partners use cookies and similar technologies to store and access information on your device, to personalise content and ads and to measure how our pages are used, as described in our cookie policy, which you can read at any time"
+    body = "The consent banner of the site asked readers to accept cookies on 189 of the records, and its privacy policy names nine partners, yet the team measured " + "nine samples over two weeks and wrote the results of each one down, " * 9
+    assert boilerplate.furniture_lines(f"A day in the lab\n{body}.\n{notice}", "A day in the lab") == [2]
+    assert boilerplate.read_line("© 2020 Lab. All rights reserved. " * 9)[0] == "rights" and boilerplate.read_line(body)[0] != "cookie"
+    late = "<html><head>" + "<meta x>" * 2000 + "<title>A day in the lab</title></head><h1>A day in the lab</h1></html>"
+    assert boilerplate.html_units(late)[-1] == "A day in the lab"
+
+
 # p3 is in the core; p4
 
 
@@ -133,7 +142,9 @@ def test_pieces(spark):
 @pytest.mark.parametrize("line, kind", [
     ("Of 120 [INSERT SITE_NAME HERE] only 135 were left", "placeholder"), ("In that template language, double braces such as {{ title }} print a variable, as the manual explains.", None), ("undefined", "placeholder"), ("null - null", "placeholder"),
     ("Lorem ipsum dolor sit amet elit", "filler"), ("Designers filled the mock-up with lorem ipsum for years before anyone wrote the real copy.", None), ("503 Service Unavailable Retry in 9 seconds.", "error"), ("Seite nicht gefunden", "error"),
-    ("Cette page nécessite JavaScript pour fonctionner.", "script"), ("Please enable JavaScript to view the comments.", None), ("Error 500 explained by the operations desk", None), ("", None), ("Access denied: how a lab handles rate limits", None),
+    ("Cette page nécessite JavaScript pour fonctionner.", "script"), ("Please enable JavaScript to view the comments.", None), ("Error 500 explained by the operations desk", None), ("", None), ("Please note that the page you requested could not be found on this server.", "error"), ("No such page exists", "error"),
+    ("Vestibulum ipsum dolor sit amet consectetur adipiscing elit sed", "filler"), ("Intro text of a page. Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod.", "filler"), ("Please enable JavaScript to use this site. " * 9, "script"),
+    ("For years printers set lorem ipsum dolor sit amet and moved on.", None), ("The page of the archive was found by 300 readers. " * 9, None), ("Todo: " + "the team measured nine samples over two weeks " * 9, None), ("Access denied: how a lab handles rate limits", None),
 ])
 def test_line_evidence(line, kind):
     assert residue.line_evidence(line) == kind
@@ -145,8 +156,8 @@ def test_faulty_fields(spark):
         spark, {"url": "http://a.b/1", "title": "{{ title }} | Site", "content": real}, {"url": "http://a.b/2", "title": "Fine", "content": "Access Denied\nRay ID: 12ab"}, {"url": "http://a.b/3", "title": None, "content": None}, {"url": None, "title": " ", "content": " "},
         {"url": "http://a.b/5", "title": "Fine", "content": real + "\nJavaScript is disabled in your browser."}, {"url": "http://a.b/6", "title": "Just a moment...", "content": "x " * 60_000},
     )
-    assert values(residue.faulty_fields(df)) == [(1, "title"), (2, "content"), (6, "title")]
-    assert values(residue.real_items(df).select("row_no")) == [(3,), (4,), (5,)] and values(residue.faulty_fields(df.limit(0))) == []
+    assert values(residue.faulty_fields(df, scan.scanned(df))) == [(1, "title"), (2, "content"), (6, "title")]
+    assert values(residue.real_items(df, scan.scanned(df)).select("row_no")) == [(3,), (4,), (5,)] and values(residue.faulty_fields(df.limit(0), scan.scanned(df.limit(0)))) == []
 
 
 def test_recurrent_evidence_is_subtracted(spark):
@@ -155,7 +166,7 @@ def test_recurrent_evidence_is_subtracted(spark):
     rows = [{"url": f"http://a.b/{w}", "content": real.format(w, w) + "\n© {{year}} All rights reserved"} for w in words]
     rows += [{"url": f"http://a.b/own-{w}", "content": f"Of {w} {{{{ count }}}} samples\n" + real.format(w, "one")} for w in words[:2]]
     rows += [{"url": "http://a.b/only", "content": "© {{year}} All rights reserved"}]
-    assert values(residue.faulty_contents(items(spark, *rows))) == [(8,), (9,), (10,)]
+    assert values(residue.faulty_contents(scan.scanned(items(spark, *rows)))) == [(8,), (9,), (10,)]
     assert not residue.content_evidence("Nine of ten samples.\nPlease enable JavaScript.", "", [1])
     assert residue.content_evidence("Access denied\nRay ID: 12ab", "", [0])
 
@@ -163,7 +174,7 @@ def test_recurrent_evidence_is_subtracted(spark):
 def test_long_recurrent_lines_are_subtracted(spark):
     legal = "We and our partners store and read data on your device in order to measure how these pages are used by readers. " * 4
     rows = [{"url": f"http://a.b/{i}", "content": f"503 Service Unavailable\nReference {w}\n{legal}"} for i, w in enumerate(["alpha", "beta", "gamma", "delta", "kappa", "sigma"])]
-    assert values(residue.faulty_contents(items(spark, *rows, {"url": "http://c.d/1", "content": f"503 Service Unavailable\n{legal}"}))) == [(i,) for i in range(1, 7)]
+    assert values(residue.faulty_contents(scan.scanned(items(spark, *rows, {"url": "http://c.d/1", "content": f"503 Service Unavailable\n{legal}"})))) == [(i,) for i in range(1, 7)]
 
 
 # p7
@@ -180,6 +191,10 @@ def test_common_words_is_the_longest_common_subsequence():
         assert batch_dedup.common_words(np.array(a, np.uint16), np.array(b, np.uint16)) == best[-1][-1]
 
 
+def marks_of(df, faulty=None):
+    return batch_dedup.prints(scan.scanned(df, prints=True), df.sparkSession.createDataFrame(faulty or [], "row_no long"))
+
+
 def test_batches(spark, tmp_path):
     random.seed(11)
     words = [f"word{i}" for i in range(400)]
@@ -190,19 +205,47 @@ def test_batches(spark, tmp_path):
         {"batch_no": 1, "url": "http://a/1", "content": text}, {"batch_no": 1, "url": "http://a/2", "content": text}, {"batch_no": 2, "url": "http://a/3", "content": near.upper()}, {"batch_no": 2, "url": "http://a/4", "content": far},
         {"batch_no": 3, "url": "https://www.a/4/", "content": None}, {"batch_no": 3, "url": None, "content": " "}, {"batch_no": 3, "url": "http://a/9", "content": text, "content_hash": "WRONG"}, {"batch_no": 3, "url": "http://a/9", "content": far, "content_hash": "wrong"},
     ]
-    df, none = items(spark, *rows), spark.createDataFrame([], "row_no long")
-    expected = [(1, 3), (1, 7), (1, 8), (4, 5)]
-    got = values(batch_dedup.batch_repeats(df, none))
-    assert [r for _, r in got] == [3, 5, 7, 8] and got[0] == (1, 3)
-    assert len(expected) == len(got)
-    history, found = batch_dedup.History(spark, str(tmp_path / "h")), []
-    for b in (1, 2, 3):
-        found += values(history.check_and_append(df.filter(F.col("batch_no") == b), none))
-    assert sorted(r for _, r in found) == [3, 5, 7, 8]
-    assert values(batch_dedup.batch_repeats(df.limit(0), none)) == []
+    marks = marks_of(items(spark, *rows))
+    # the page of rows 7 and 8 joins both texts, which is not known yet when batch 3 is the newest but known with it
+    for again in (False, True):  # also if the history is reopened for each batch
+        history, found = batch_dedup.History(spark, str(tmp_path / f"h{again}"), 3), []
+        for b in (1, 2, 3):
+            if again and b > 1:
+                history.close()
+                history = batch_dedup.History(spark, str(tmp_path / f"h{again}"), 5)
+            found += values(history.check_and_append(marks.filter(F.col("batch_no") == b)))
+        assert history.buckets == 3 and len(history.loads) == 3
+        assert sorted(found) == values(batch_dedup.batch_repeats(marks)) == [(1, 3), (1, 5), (1, 7), (1, 8)]
+    assert values(batch_dedup.batch_repeats(marks.limit(0))) == []
+    assert values(batch_dedup.batch_repeats(marks_of(items(spark, *rows), [(i,) for i in range(1, 9)]))) == [(4, 5)]
+
+
+def test_failed_load_leaves_nothing(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    marks = marks_of(items(spark, {"batch_no": 1, "content": texts[0]}, {"batch_no": 2, "content": texts[0]}, {"batch_no": 2, "content": texts[1]}, {"batch_no": 3, "content": texts[1]}))
+    history = batch_dedup.History(spark, str(tmp_path / "h"))
+    history.check_and_append(marks.filter("batch_no = 1"))
+    with monkeypatch.context() as m:
+        m.setattr(batch_dedup, "linked_classes", lambda links: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            history.check_and_append(marks.filter("batch_no = 2"))
+    history.close()
+    history = batch_dedup.History(spark, str(tmp_path / "h"))
+    assert [values(history.check_and_append(marks.filter(F.col("batch_no") == b))) for b in (2, 3)] == [[(1, 2)], [(3, 4)]]
+
+
+def near_pairs(marks):
+    held = {r.row_no: r.words for r in marks.collect()}
+    return sorted((a, b) for a in held for b in held if a < b and batch_dedup.nearly_same(held[a], held[b]))
+
 
+def linked_pairs(spark, marks, folder):
+    history = batch_dedup.History(spark, folder)
+    keys = marks.filter("exact is not null").groupBy(F.concat(F.lit(b"t"), "exact").alias("key")).agg(F.min("row_no").alias("first_no"), F.min("batch_no").alias("first_batch"), F.lit(None).cast("long").alias("old_no"))
+    return values(history._near(marks, keys, "x").select("a", "b"))
 
-def test_pairs_are_complete(spark, monkeypatch):
+
+def test_pairs_are_complete(spark, monkeypatch, tmp_path):
     """A paragraph's first text is near to none of the later ones, which are near to each other; compared with all pairs."""
     import pyarrow as pa
 
@@ -212,12 +255,14 @@ def test_pairs_are_complete(spark, monkeypatch):
     longer = text + [random.choice(words) for _ in range(90)]
     changed = lambda n: ["other" if i % 40 == n else w for i, w in enumerate(text)]
     rows = [{"batch_no": i + 1, "content": " ".join(w) + "."} for i, w in enumerate([longer, text, changed(3), changed(7), longer[80:], text[:60] + text[75:]])]
-    none = spark.createDataFrame([], "row_no long")
-    marks = batch_dedup.prints(items(spark, *rows), none)
-    held = {r.row_no: r.words for r in marks.collect()}
-    near = sorted((a, b) for a in held for b in held if a < b and batch_dedup.nearly_same(held[a], held[b]))
-    assert (2, 3) in near and not any(a == 1 for a, _ in near) and values(batch_dedup.near_links(marks)) == near
-    assert values(batch_dedup.batch_repeats(items(spark, *rows), none))[0] == (2, 3)
+    marks = marks_of(items(spark, *rows))
+    near = near_pairs(marks)
+    assert (2, 3) in near and not any(a == 1 for a, _ in near) and linked_pairs(spark, marks, str(tmp_path / "a")) == near
+    with monkeypatch.context() as m:  # a hot paragraph, cut by length and into slices
+        m.setattr(batch_dedup, "HOT", 2)
+        m.setattr(batch_dedup, "SLICE", 2)
+        assert linked_pairs(spark, marks, str(tmp_path / "b")) == near
+    assert values(batch_dedup.batch_repeats(marks))[0] == (2, 3)
     # one group, read in parts of any size, texts on both sides of a doubling of the parity bits
     texts = [np.array([random.randrange(400) for _ in range(250)], np.uint16)]
     for _ in range(60):
@@ -226,8 +271,9 @@ def test_pairs_are_complete(spark, monkeypatch):
             x[random.randrange(len(x))] = random.randrange(400)
         texts.append(np.array(x + [random.randrange(400) for _ in range(random.randint(0, 20))], np.uint16))
     texts.sort(key=len)
-    rows = [{"key": 1, "n": len(t), "row_no": i, "bits": batch_dedup.parities(t)} for i, t in enumerate(texts)]
+    rows = [{"group": 1, "side": 0, "batch_no": 1, "fresh": True, "n": len(t), "row_no": i, "bits": hashing.parities(t)} for i, t in enumerate(texts)]
     near = {(i, j) for j in range(len(texts)) for i in range(j) if batch_dedup.nearly_same(texts[i].tobytes(), texts[j].tobytes())}
+    assert near == {(i, j) for j in range(len(texts)) for i in range(j) if min(len(texts[i]), len(texts[j])) >= 0.9 * max(len(texts[i]), len(texts[j])) and batch_dedup.common_words(texts[i], texts[j]) >= 0.9 * max(len(texts[i]), len(texts[j])) - 1e-9}
     for chunk in (1, 10, 1000):
         monkeypatch.setattr(batch_dedup, "CHUNK", chunk)
         parts = [pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)]
@@ -236,19 +282,20 @@ def test_pairs_are_complete(spark, monkeypatch):
 
 
 def test_history_keeps_first_rows(spark, tmp_path):
-    """Links through rows that share nothing with the new batch: the same (first_no, row_no) batch by batch as in one pass."""
+    """Links through rows that share nothing with the new batch: the same (first_no, row_no) batch by batch as in one load."""
     random.seed(29)
     one, two, three, four = (" ".join(f"{c}{random.randrange(500)}" for _ in range(60)) for c in "abcd")
     rows = [
         {"batch_no": 1, "url": "http://a/p", "content": one}, {"batch_no": 2, "url": "http://a/p", "content": two}, {"batch_no": 3, "url": "http://a/q", "content": two},
         {"batch_no": 3, "url": "http://a/r", "content": three}, {"batch_no": 4, "url": "http://a/q", "content": three}, {"batch_no": 5, "url": "http://a/r", "content": four},
-        {"batch_no": 6, "url": "http://a/s", "content": four}, {"batch_no": 6, "url": "http://a/t", "content": None},
+        {"batch_no": 6, "url": "http://a/s", "content": four}, {"batch_no": 6, "url": "http://a/t", "content": None}, {"batch_no": None, "url": "http://a/u", "content": None},
     ]
-    df, none = items(spark, *rows), spark.createDataFrame([], "row_no long")
+    marks = marks_of(items(spark, *rows))
     history, found = batch_dedup.History(spark, str(tmp_path / "h")), []
-    for b in range(1, 7):
-        found += values(history.check_and_append(df.filter(F.col("batch_no") == b), none))
-    assert sorted(found) == values(batch_dedup.batch_repeats(df, none)) == [(1, 2), (1, 3), (1, 5), (1, 6), (1, 7)]
+    for b in range(7):
+        found += values(history.check_and_append(marks.filter(F.col("batch_no") == b)))
+    at_once = values(batch_dedup.History(spark, str(tmp_path / "i")).check_and_append(marks))
+    assert sorted(found) == values(batch_dedup.batch_repeats(marks)) == at_once == [(1, 2), (1, 3), (1, 5), (1, 6), (1, 7)]
 
 
 # p8

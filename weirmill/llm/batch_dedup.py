@@ -1,19 +1,17 @@
 """Deduplication of new batches against all history, by hashes in bucketed tables.
 
 Each text becomes its normalised main body: an exact hash of its words, and hashes of its paragraphs, which are content-defined
-runs of words (so moved line ends, changed spacing and punctuation leave them alone). A batch is compared only through these
-hashes, joined within buckets: equal exact hashes are full copies; any two texts that share a paragraph, and whose lengths and
-word parities allow near equality, are checked word by word. Then the batch's hashes are appended. Texts of the history are never read again, only the
-word numbers of the few rows a paragraph hash leads to.
+runs of words (so moved line ends, changed spacing and punctuation leave them alone). A batch's hashes are appended to tables
+bucketed by the hash, and rows of one hash meet there, in their bucket: equal pages and exact hashes are full copies; any two texts
+that share a paragraph, and whose lengths and word parities allow near equality, are checked word by word. Texts of the history
+are never read again, only the word numbers of the few rows a paragraph leads to, by a semi-join in buckets of row numbers.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import hashlib
+import uuid
 from collections.abc import Iterator
-from hashlib import blake2b
-from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -21,79 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from weirmill.functions.text import key_text, strip
-from weirmill.llm import boilerplate
-from weirmill.llm.survivors import page_key
-from weirmill.operators.components import shared_group_classes
-from weirmill.operators.skew import lookup_join
-from weirmill.session import stored
+from weirmill.llm.hashing import BITS
+from weirmill.operators.components import linked_classes
+from weirmill.operators.skew import MAX_HOT, lookup_join
+from weirmill.session import scratch_path, stored
 
 #: Share of the longer text's words that must agree in order.
 NEAR = 0.9
-#: Mean paragraph length in words, and its half for texts under SHORT words.
-RUN, SHORT = 8, 128
-#: Buckets of the hash tables.
-BUCKETS = 64
 #: Rows of one paragraph join that are held at once; a longer group is worked off in parts.
 CHUNK = 200_000
-#: Parity bits of texts under 256 words; twice as many for each doubling of the words, up to BITS << TOP_LEVEL.
-BITS, TOP_LEVEL = 128, 5
-
-_WORD = re.compile(r"\w+")
-
-
-class _Numbers(dict):
-    """Words to numbers; filled as they come."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        number = self[word] = zlib.crc32(word.encode())
-        return number
-
-
-_NUMBERS = _Numbers()
-_BASE = 0x100000001B3
-_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
-        size = max(1024, 2 * n)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _POWERS[k] = np.cumprod(np.full(size, base, np.uint64))
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def body_words(text: str, title: str = "") -> list[int]:
-    """Numbers of the words of a text's main body, without case, punctuation, html escapes and spacing."""
-    drop = set(boilerplate.furniture_lines(text, title))
-    body = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop) if drop else text
-    if "&" in body:
-        body = unescape(unescape(body))
-    return list(map(_NUMBERS.__getitem__, _WORD.findall(body.lower())))
-
-
-def paragraph_hashes(words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the content-defined runs of words; short texts get a second, finer set."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    mixed = words * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    powers, inverses = _powers(len(words))
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers)])
-    out = []
-    for run in (RUN, RUN // 2) if len(words) < SHORT else (RUN,):
-        ends = np.flatnonzero(mixed % np.uint64(run) == 0) + 1
-        if not len(ends) or ends[-1] != len(words):
-            ends = np.append(ends, len(words))
-        starts = np.concatenate([[0], ends[:-1]])
-        out.append((prefix[ends] - prefix[starts]) * inverses[starts] * np.uint64(2 * run + 1) + (ends - starts).astype(np.uint64))
-    return np.unique(np.concatenate(out)).astype(np.int64)
+#: Texts of a paragraph from which its pairs are made in several tasks, SLICE texts against SLICE.
+HOT, SLICE = 50_000, 25_000
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -120,27 +58,14 @@ def nearly_same(a: bytes, b: bytes) -> bool:
     longer, shorter = max(len(x), len(y)), min(len(x), len(y))
     if shorter < NEAR * longer:
         return False
-    return common_words(x, y) >= NEAR * longer - 1e-9
-
-
-_PRINT = T.StructType(
-    [T.StructField("exact", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("paragraphs", T.ArrayType(T.LongType()))]
-)
-
-
-@F.pandas_udf(_PRINT)
-def _prints(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for text, title in batches:
-        rows = []
-        for x, t in zip(text, title):
-            if x is None:
-                rows.append((None, None, None))
-                continue
-            words = np.array(body_words(x, t), np.uint32)
-            raw = words.tobytes()
-            exact = blake2b(raw, digest_size=16).digest() if raw else None
-            rows.append((exact, words.astype(np.uint16).tobytes(), paragraph_hashes(words.astype(np.uint64))))
-        yield pd.DataFrame(rows, columns=["exact", "words", "paragraphs"])
+    # words at both ends that agree are part of some longest common subsequence
+    same = x[:shorter] == y[:shorter]
+    head = shorter if same.all() else int(same.argmin())
+    rest = shorter - head
+    same = x[len(x) - rest :][::-1] == y[len(y) - rest :][::-1]
+    tail = rest if same.all() else int(same.argmin())
+    middle = common_words(x[head : len(x) - tail], y[head : len(y) - tail])
+    return head + tail + middle >= NEAR * longer - 1e-9
 
 
 @F.pandas_udf(T.BooleanType())
@@ -149,43 +74,23 @@ def _same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([nearly_same(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def prints(items: DataFrame, faulty: DataFrame) -> DataFrame:
-    """(row_no, batch_no, page, stated, exact, words, paragraphs) of each row.
+def prints(scan: DataFrame, faulty: DataFrame) -> DataFrame:
+    """(row_no, batch_no, page, stated, exact, n_words, bits, words, paragraphs) of each row of ``scan`` (scan.scanned(items,
+    prints=True)).
 
-    page: the page its url leads to; stated: its content_hash, a hint only; the last three are null or empty without text:
-    null and blank content, contents in ``faulty`` (row_no) and contents without main body are no text.
+    page: the page its url leads to; stated: its content_hash, a hint only; exact is null without text: null and blank contents,
+    contents in ``faulty`` (row_no) and contents without main body are no text.
     """
-    base = items.select(
-        "row_no", "batch_no", F.when(strip(F.col("url")) != "", page_key(F.col("url"))).alias("page"), key_text(F.col("content_hash")).alias("stated"),
-        "content", F.coalesce("title", F.lit("")).alias("title"),
-    )
-    text = F.when(F.col("content").rlike(r"\S"), F.col("content"))
-    marks = base.withColumn("p", _prints(text, F.col("title"))).drop("content", "title")
-    # joined after the prints: texts are never shuffled
-    marks = marks.join(faulty.select("row_no", F.lit(True).alias("no_text")).distinct(), "row_no", "left")
-    marks = marks.withColumn("p", F.when(F.col("no_text").isNull(), F.col("p")))
-    return marks.select("row_no", "batch_no", "page", "stated", "p.*").withColumn("bucket", F.pmod("row_no", F.lit(BUCKETS)).cast("int"))
+    marks = scan.join(faulty.select("row_no", F.lit(True).alias("no_text")).distinct(), "row_no", "left")
+    return marks.select("row_no", "batch_no", "page", "stated", F.when(F.col("no_text").isNull(), F.col("exact")).alias("exact"), "n_words", "bits", "words", "paragraphs")
 
 
-def parities(words: np.ndarray) -> bytes:
-    """Bit k: whether the words of class k are odd in number. A word added or taken away changes one bit."""
-    size = BITS << min(max(len(words).bit_length() - 8, 0), TOP_LEVEL)
-    mixed = words.astype(np.uint32) * np.uint32(0x9E3779B1)
-    return np.packbits(np.bincount((mixed >> np.uint32(16)) % np.uint32(size), minlength=size) & 1 == 1).tobytes()
-
-
-@F.pandas_udf(T.BinaryType())
-def _parities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for words in batches:
-        yield words.map(lambda w: parities(np.frombuffer(w, np.uint16)))
-
-
-def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of rows with one key that may be nearly the same; the rows are ordered by key and n.
 
     Left out are only pairs that cannot be: if NEAR of the n_j >= n_i words agree in order, at most
     n_i + n_j - 2 * ceil(NEAR * n_j) words are added or taken away, and no more parity bits differ. Pairs of the first ``old``
-    rows are left out.
+    rows are left out, and pairs neither of which is ``fresh``.
     """
     level = np.array([(len(b) * 8 // BITS).bit_length() - 1 for b in bits], np.int64)
     found = []
@@ -207,6 +112,8 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0)
             if not len(i):
                 break
             first = i[i + shift >= old]
+            if fresh is not None:
+                first = first[fresh[first] | fresh[first + shift]]
             j = first + shift
             apart = np.zeros(len(first), np.int64)
             x, y = place[first], place[j]
@@ -218,20 +125,31 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0)
     return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
+_PAIR = "a long, b long, batch_a int, batch_b int"
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one key; of a group that goes on, the rows that later, longer ones may be near to are carried over."""
+    """Pairs of rows of one key, a < b; of a group that goes on, the rows that later, longer ones may be near to are carried over.
+
+    ``side``: 0 where a group's rows are all paired, else 1 and 2, and only rows of two sides are.
+    """
     held: list[pa.RecordBatch] = []
     old = 0
 
     def work() -> pa.RecordBatch:
         nonlocal held, old
-        all_rows = pa.Table.from_batches(held)
-        key, n, row_no = (all_rows[c].to_numpy() for c in ("key", "n", "row_no"))
-        i, j = close_pairs(key, n, all_rows["bits"].to_pylist(), old)
-        pairs = np.unique(np.stack([np.minimum(row_no[i], row_no[j]), np.maximum(row_no[i], row_no[j])]), axis=1)
+        rows = pa.Table.from_batches(held)
+        key, n, row_no, batch_no, fresh, side = (rows[c].to_numpy() for c in ("group", "n", "row_no", "batch_no", "fresh", "side"))
+        i, j = close_pairs(key, n, rows["bits"].to_pylist(), old, fresh)
+        across = (side[i] == 0) | (side[i] != side[j])
+        i, j = i[across], j[across]
+        swap = row_no[i] > row_no[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        once = np.unique(np.stack([row_no[i], row_no[j]]), axis=1, return_index=True)[1]
+        i, j = i[once], j[once]
         rest = np.flatnonzero((key == key[-1]) & (n >= NEAR * n[-1] - 1e-9))
-        held, old = all_rows.slice(rest[0]).to_batches(), len(rest)
-        return pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        held, old = rows.slice(rest[0]).to_batches(), len(rest)
+        return pa.record_batch({"a": pa.array(row_no[i]), "b": pa.array(row_no[j]), "batch_a": pa.array(batch_no[i], pa.int32()), "batch_b": pa.array(batch_no[j], pa.int32())})
 
     for batch in batches:
         if batch.num_rows:
@@ -242,142 +160,183 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
-def near_links(marks: DataFrame) -> DataFrame:
-    """(a, b): first rows of texts that are nearly the same, a < b.
+def candidate_pairs(units: DataFrame) -> DataFrame:
+    """(a, b, batch_a, batch_b): all pairs of rows of one key that may be nearly the same, at least one of them fresh.
 
-    All texts that share a paragraph, or a stated hash, are paired; the pairs that length and parity bits do not rule out are
-    checked word by word. Equal texts stand for themselves once, by their first row.
+    ``units``: (key, n_key, row_no, n, bits, batch_no, fresh), n_key the rows of the key. A key of more than HOT rows is cut by
+    length, into doublings that overlap by what NEAR allows, and each of these into slices that meet two by two in tasks of
+    their own; every pair still meets.
     """
-    texts = marks.filter(F.col("exact").isNotNull())
-    first = texts.groupBy("exact").agg(F.min("row_no").alias("row_no"))
-    reps = texts.join(first, ["exact", "row_no"], "left_semi")
-    stated = F.array_compact(F.array(F.when(F.col("stated").isNotNull(), F.xxhash64("stated"))))
-    keys = F.array_distinct(F.concat(stated, F.coalesce("paragraphs", F.array().cast("array<bigint>"))))
-    units = reps.select("row_no", (F.octet_length("words") / 2).cast("long").alias("n"), _parities("words").alias("bits"), keys.alias("keys"))
-    units = units.select(F.explode("keys").alias("key"), "row_no", "n", "bits")
-    near_ones = units.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a long, b long")
-    pairs = stored(near_ones.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
-    words = stored(reps.select("row_no", "words").join(wanted, "row_no", "left_semi"), "words")
-    both = pairs.join(words.select(F.col("row_no").alias("a"), F.col("words").alias("x")), "a").join(
-        words.select(F.col("row_no").alias("b"), F.col("words").alias("y")), "b"
-    )
-    return both.filter(_same("x", "y")).select("a", "b")
-
-
-def repeats(marks: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(first_no, row_no): rows of ``marks`` that repeat a row of an earlier batch, and the first row of all that repeat it.
-
-    Two rows repeat each other if they have one page, or nearly the same text; first_no is the smallest row reached over such
-    links. A row whose links lead only into its own batch is none. ``known``: (node, label), the first rows found before.
-    """
-    late, classes = _late_and_classes(marks, known)
-    return late.join(classes, "node").filter(F.col("label") < F.col("node")).select(F.col("label").alias("first_no"), F.col("node").alias("row_no"))
-
-
-def _late_and_classes(marks: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(node) of the rows that repeat a row of an earlier batch, and (node, label) of all linked rows."""
-    near = stored(near_links(marks), "near")
-    texts = marks.filter(F.col("exact").isNotNull()).select("row_no", "batch_no", "exact")
-    pages = marks.filter(F.col("page").isNotNull()).select("row_no", "batch_no", "page")
-    by_text = texts.groupBy("exact").agg(F.min("row_no").alias("rep"), F.min("batch_no").alias("text_batch"), F.count(F.lit(1)).alias("n"))
-    by_page = pages.groupBy("page").agg(F.min("batch_no").alias("page_batch"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    batch_of = by_text.select("rep", "text_batch")
-    earlier = (
-        near.select(F.col("a").alias("other"), F.col("b").alias("rep"))
-        .unionByName(near.select(F.col("b").alias("other"), F.col("a").alias("rep")))
-        .join(batch_of.select(F.col("rep").alias("other"), F.col("text_batch").alias("near_batch")), "other")
-        .groupBy("rep").agg(F.min("near_batch").alias("near_batch"))
-    )
-    text_class = by_text.join(earlier, "rep", "left").filter((F.col("n") > 1) | F.col("near_batch").isNotNull())
-    text_class = text_class.select("exact", F.least("text_batch", F.coalesce("near_batch", "text_batch")).alias("text_batch"))
-    page_rows = lookup_join(pages, by_page, ["page"]).filter(F.col("page_batch").isNotNull())
-    text_rows = lookup_join(texts, text_class, ["exact"]).filter(F.col("text_batch").isNotNull())
-    groups = stored(
-        page_rows.select(F.col("row_no").alias("node"), F.concat(F.lit("u"), F.hex("page")).alias("group"), F.col("page_batch").alias("first_batch"), "batch_no")
-        .unionByName(text_rows.select(F.col("row_no").alias("node"), F.concat(F.lit("t"), F.hex("exact")).alias("group"), F.col("text_batch").alias("first_batch"), "batch_no")),
-        "groups",
-    )
-    pairs = near.select(F.concat_ws("-", F.lit("n"), "a", "b").alias("group"), F.explode(F.array("a", "b")).alias("node"))
-    members = groups.select("node", "group").unionByName(pairs.select("node", "group"))
-    if known is not None:
-        members = members.unionByName(known.select(F.concat(F.lit("k"), F.col("label")).alias("group"), F.explode(F.array("node", "label")).alias("node")))
-    return groups.filter(F.col("first_batch") < F.col("batch_no")).select("node").distinct(), shared_group_classes(members)
+    few = units.filter(F.col("n_key") <= HOT).select(F.xxhash64("key").alias("group"), F.lit(0).alias("side"), "row_no", "n", "bits", "batch_no", "fresh")
+    low = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")))
+    bands = F.when(F.col("n") >= NEAR * F.pow(F.lit(2.0), low + 1) - 1, F.array(low, low + 1)).otherwise(F.array(low))
+    slices = F.ceil(F.col("n_key") / SLICE).cast("int")
+    own = F.pmod(F.xxhash64("row_no"), slices).cast("int")
+    hot = units.filter(F.col("n_key") > HOT).withColumns({"slices": slices, "own": own}).withColumn("band", F.explode(bands))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    many = hot.select(group.alias("group"), side.alias("side"), "row_no", "n", "bits", "batch_no", "fresh")
+    met = few.unionByName(many).repartition("group").sortWithinPartitions("group", "n")
+    return met.mapInArrow(_pairs, _PAIR).distinct()
 
 
 class History:
-    """Hash tables of all rows seen so far, in a folder all executors share; one sub-folder a bucket.
-
-    A row's first row is kept with it: `firsts` has (row_no, label) where a row or a first row was found to have an earlier one,
-    so links through history rows that share nothing with a new batch are not lost. A batch that joins two classes appends
-    one line for the later first row, which is followed when labels are read.
-    """
+    """Tables of all rows seen so far, in a folder all executors share, bucketed by what they are joined on.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.empty, self.labelled = spark, folder.rstrip("/"), True, False
+    ``groups`` (by key): for each load and page or exact hash its first row, first batch and number of rows, so that a page with a
+    third of all rows is one line. ``paragraphs`` (by key): the paragraph and stated hashes of each text's first row. ``texts`` (by
+    row_no): the word numbers of these rows. ``firsts`` (by row_no): the first row of rows that were found to have one; a load that
+    joins two classes adds a line for the later first row, which is followed when labels are read.
 
-    def check_and_append(self, batch: DataFrame, faulty: DataFrame) -> DataFrame:
-        """(first_no, row_no) of the batch's rows that repeat a row of an earlier batch; then the batch's hashes are appended.
+    A load counts once its mark is written, as the last step: what a failed load left behind is never read, and it can be run
+    again. A reopened history goes on where it ended. ``buckets`` is fixed by the first load (the session's shuffle partitions).
+    """
 
-        Only history rows that share a page, an exact or stated hash or a paragraph with the batch are read beyond their keys:
-        semi-joins within the buckets of the keys select them. first_no is the first row known with this batch; what a later
-        batch joins does not change it.
+    _TABLES = {
+        "groups": ("key binary, first_no long, first_batch int, n long, load string", "key"),
+        "paragraphs": ("key long, row_no long, load string", "key"),
+        "texts": ("row_no long, batch_no int, n int, bits binary, words binary, load string", "row_no"),
+        "firsts": ("row_no long, label long, load string", "row_no"),
+    }
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/loads")
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)
+        marks = [f.getPath().getName() for f in self._fs.listStatus(path)]
+        self.loads = [m.split("-")[1] for m in marks]
+        known = {int(m.split("-")[0]) for m in marks}
+        self.buckets = known.pop() if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._prefix = "weirmill_" + hashlib.md5(self.folder.encode()).hexdigest()[:16]
+
+    def _table(self, name: str) -> DataFrame:
+        columns, by = self._TABLES[name]
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self._prefix}_{name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}-{self.buckets}'"
+        )
+        return self.spark.table(f"{self._prefix}_{name}")
+
+    def _append(self, name: str, rows: DataFrame, load: str) -> None:
+        by = self._TABLES[name][1]
+        rows = rows.withColumn("load", F.lit(load)).select(self._table(name).columns)
+        rows.write.format("parquet").bucketBy(self.buckets, by).sortBy(by).mode("append").saveAsTable(f"{self._prefix}_{name}")
+        self.spark.catalog.refreshTable(f"{self._prefix}_{name}")
+
+    def _read(self, name: str, load: str) -> DataFrame:
+        """The table's rows of finished loads and this one; fresh tells them apart."""
+        rows = self._table(name)
+        return rows.filter(F.col("load").isin([*self.loads, load])).withColumn("fresh", F.col("load") == load)
+
+    def check_and_append(self, marks: DataFrame) -> DataFrame:
+        """(first_no, row_no) of the rows of ``marks`` that repeat a row of an earlier batch, and the first row of all that repeat it;
+        then their hashes are appended.
+
+        ``marks`` (see prints) holds one batch or several; rows of one batch are no repeats of each other by themselves. Rows repeat
+        each other if they have one page or nearly the same text; the first row is the smallest reached over such links, known with
+        this load: what a later load joins does not change it. Rows whose row_no was loaded before must not come again.
         """
-        new = stored(prints(batch, faulty), "batch")
-        marks, known = new, None
-        if not self.empty:
-            keys = self.spark.read.parquet(f"{self.folder}/keys")
-            hit = keys.join(_keys(new).select("key_bucket", "key").distinct(), ["key_bucket", "key"], "left_semi").select("row_no").distinct()
-            hit = stored(hit.withColumn("bucket", F.pmod("row_no", F.lit(BUCKETS)).cast("int")), "hit")
-            old = self.spark.read.parquet(f"{self.folder}/prints").join(hit, ["bucket", "row_no"], "left_semi")
-            marks = stored(new.unionByName(old.select(new.columns)), "marks")
-            known = self._known(hit.select(F.col("row_no").alias("node"))) if self.labelled else None
-        late, classes = _late_and_classes(marks, known)
-        classes = stored(classes.filter(F.col("label") < F.col("node")), "classes")
-        found = late.join(classes, "node").select(F.col("label").alias("first_no"), F.col("node").alias("row_no"))
-        found = stored(found.join(new.select("row_no"), "row_no", "left_semi").select("first_no", "row_no"), "found")
-        labels = classes if known is None else classes.join(known, ["node", "label"], "left_anti")
-        labels = labels.select(F.col("node").alias("row_no"), "label", F.pmod("node", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        labels.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/firsts")
-        self.labelled = self.labelled or bool(classes.limit(1).count())
-        _keys(new).repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(f"{self.folder}/keys")
-        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/prints")
-        self.empty = False
-        return found
-
-    def _known(self, front: DataFrame) -> DataFrame:
-        """(node, label): what is kept of the nodes, of their first rows, and so on; each step leads to smaller rows, so it ends."""
-        firsts = self.spark.read.parquet(f"{self.folder}/firsts").select(F.col("row_no").alias("node"), "label", "bucket")
+        load = uuid.uuid4().hex
+        b = self.buckets
+        kinds = F.array_compact(F.array(F.when(F.col("page").isNotNull(), F.concat(F.lit(b"u"), "page")), F.when(F.col("exact").isNotNull(), F.concat(F.lit(b"t"), "exact"))))
+        keyed = marks.select("row_no", "batch_no", F.explode(kinds).alias("key"))
+        own = keyed.groupBy("key").agg(F.min("row_no").alias("first_no"), F.min("batch_no").alias("first_batch"), F.count(F.lit(1)).alias("n"))
+        self._append("groups", own, load)
+        # rows of one key lie in one bucket: no shuffle
+        groups = self._read("groups", load).groupBy("key").agg(
+            F.min("first_no").alias("first_no"), F.min("first_batch").alias("first_batch"), F.sum("n").alias("n"), F.max("fresh").alias("hit"),
+            F.min(F.when(~F.col("fresh"), F.col("first_no"))).alias("old_no"),
+        )
+        groups = stored(groups.filter("hit").drop("hit"), "groups")
+        near = self._near(marks, groups, load)
+        linked = near.select(F.inline(F.array(F.struct(F.col("a").alias("first_no"), F.col("batch_b").alias("batch")), F.struct(F.col("b").alias("first_no"), F.col("batch_a").alias("batch")))))
+        linked = linked.groupBy("first_no").agg(F.min("batch").alias("near_batch"))
+        is_text = F.substring("key", 1, 1) == F.lit(b"t")
+        texts = groups.filter(is_text).join(linked, "first_no", "left").withColumn("first_batch", F.least("first_batch", "near_batch"))
+        shared = stored(
+            texts.filter("n > 1 or near_batch is not null").select("key", "first_no", "first_batch", "n").unionByName(groups.filter(~is_text & (F.col("n") > 1)).select("key", "first_no", "first_batch", "n")), "shared"
+        )
+        hot = shared.orderBy(F.desc("n"), "key").limit(MAX_HOT).drop("n")
+        met = lookup_join(keyed, shared.drop("n"), ["key"], hot).filter("first_no is not null")
+        ends = met.groupBy("row_no").agg(
+            F.min("first_no").alias("low"), F.max("first_no").alias("high"), (F.min("first_batch") < F.min("batch_no")).alias("late")
+        )
+        ends = stored(ends, "ends")
+        links = (
+            ends.select(F.col("low").alias("src"), F.col("high").alias("dst"))
+            .unionByName(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            .unionByName(groups.filter("old_no <> first_no").select(F.col("old_no").alias("src"), F.col("first_no").alias("dst")))
+        )
+        if self.loads:
+            links = stored(links.filter("src <> dst").distinct(), "links")
+            links = links.unionByName(self._known(links.select(F.explode(F.array("src", "dst")).alias("row_no")).unionByName(ends.select(F.explode(F.array("low", "high")).alias("row_no"))).distinct(), load))
+        classes = linked_classes(links)
+        found = ends.join(classes.withColumnRenamed("node", "low"), "low", "left").select(F.coalesce("label", "low").alias("first_no"), "row_no", "late")
+        found = stored(found.filter("first_no < row_no"), "found")
+        firsts = classes.filter("label < node").select(F.col("node").alias("row_no"), "label").unionByName(found.select("row_no", F.col("first_no").alias("label")))
+        self._append("firsts", firsts.distinct(), load)
+        self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/loads/{b}-{load}")).close()
+        self.loads.append(load)
+        return found.filter("late").select("first_no", "row_no")
+
+    def _near(self, marks: DataFrame, groups: DataFrame, load: str) -> DataFrame:
+        """(a, b, batch_a, batch_b): first rows of texts that are nearly the same, at least one of them new.
+
+        A text that the history has stands for itself once, by its first row there. Of the paragraphs, read in their buckets, only
+        those that a new text shares with another are joined to lengths and parities, in buckets of rows.
+        """
+        first = groups.filter((F.substring("key", 1, 1) == F.lit(b"t")) & F.col("old_no").isNull()).select(F.col("first_no").alias("row_no"), F.col("first_batch").alias("text_batch"))
+        reps = marks.drop("batch_no", "exact", "page").join(first, "row_no")
+        self._append("texts", reps.select("row_no", F.col("text_batch").alias("batch_no"), F.col("n_words").alias("n"), "bits", "words"), load)
+        stated = F.array_compact(F.array(F.when(F.col("stated").isNotNull(), F.xxhash64("stated"))))
+        # read by the marks' own order, as texts have been written: only row numbers and hashes are shuffled
+        keys = marks.select("row_no", F.explode(F.array_distinct(F.concat(stated, "paragraphs"))).alias("key"))
+        self._append("paragraphs", keys.join(first.select("row_no"), "row_no", "left_semi"), load)
+        same = Window.partitionBy("key")
+        shared = self._read("paragraphs", load).withColumns({"n_key": F.count(F.lit(1)).over(same), "hit": F.max("fresh").over(same)}).filter("n_key > 1 and hit")
+        texts = self._read("texts", load)
+        units = shared.select("key", "n_key", "row_no").join(texts.select("row_no", "n", "bits", "batch_no", "fresh"), "row_no")
+        pairs = stored(candidate_pairs(units), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
+        words = stored(texts.join(wanted, "row_no", "left_semi").select("row_no", "words"), "words")
+        both = lookup_join(pairs, words.select(F.col("row_no").alias("a"), F.col("words").alias("x")), ["a"])
+        both = lookup_join(both, words.select(F.col("row_no").alias("b"), F.col("words").alias("y")), ["b"])
+        return stored(both.filter(_same("x", "y")).select("a", "b", "batch_a", "batch_b"), "near")
+
+    def _known(self, front: DataFrame, load: str) -> DataFrame:
+        """(src, dst): what is kept of the rows, of their first rows, and so on; each step leads to smaller rows, so it ends."""
+        firsts = self._table("firsts").filter(F.col("load").isin(self.loads)).select("row_no", "label")
         out, seen = None, front
         while True:
-            wanted = front.withColumn("bucket", F.pmod("node", F.lit(BUCKETS)).cast("int"))
-            step = stored(firsts.join(wanted, ["bucket", "node"], "left_semi").select("node", "label").distinct(), "known")
-            out = step if out is None else out.unionByName(step)
-            front = stored(step.select(F.col("label").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+            step = stored(firsts.join(front, "row_no", "left_semi").distinct(), "known")
+            rows = step.select(F.col("row_no").alias("src"), F.col("label").alias("dst"))
+            out = rows if out is None else out.unionByName(rows)
+            front = stored(step.select(F.col("label").alias("row_no")).distinct().join(seen, "row_no", "left_anti"), "front")
             if front.isEmpty():
                 return out
             seen = seen.unionByName(front)
 
+    def close(self) -> None:
+        """Takes the tables out of the session's catalog; the folder stays."""
+        for name in self._TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._prefix}_{name}")
 
-def _keys(marks: DataFrame) -> DataFrame:
-    """(row_no, key, key_bucket): every hash by which a row can be found."""
-    every = F.concat(
-        F.array_compact(F.array(F.xxhash64(F.lit("u"), "page"), F.when(F.col("exact").isNotNull(), F.xxhash64(F.lit("t"), "exact")), F.when(F.col("stated").isNotNull(), F.xxhash64("stated")))),
-        F.coalesce("paragraphs", F.array()),
-    )
-    return marks.select("row_no", F.explode(F.array_distinct(every)).alias("key")).withColumn("key_bucket", F.pmod("key", F.lit(BUCKETS)).cast("int"))
-
-
-def batch_repeats(items: DataFrame, faulty: DataFrame) -> DataFrame:
-    """The repeats of all batches in one pass, without stored tables: the rows ``History`` finds one batch after the other.
 
-    first_no is the first row of all batches; History's is the first row known with the row's own batch.
+def batch_repeats(marks: DataFrame) -> DataFrame:
+    """(first_no, row_no) of all batches: the earlier ones are loaded into a fresh history, then the newest is checked against it.
 
     Null urls, contents and hashes link nothing; repeated rows of one batch are no case by themselves. Extra columns are ignored.
     """
-    return repeats(stored(prints(items, faulty), "prints"))
+    spark = marks.sparkSession
+    least, newest = marks.agg(F.min("batch_no"), F.max("batch_no")).first()
+    history = History(spark, scratch_path(spark, "history"))
+    parts = [marks] if least == newest else [marks.filter(F.col("batch_no") < newest), marks.filter(F.col("batch_no") == newest)]
+    found = [history.check_and_append(p) for p in parts]
+    history.close()
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def new_items(items: DataFrame, faulty: DataFrame) -> DataFrame:
+def new_items(items: DataFrame, marks: DataFrame) -> DataFrame:
     """The items that bring a new page and a new text: those that repeat no row of an earlier batch."""
-    return items.join(batch_repeats(items, faulty).select("row_no"), "row_no", "left_anti")
+    return items.join(batch_repeats(marks).select("row_no"), "row_no", "left_anti")

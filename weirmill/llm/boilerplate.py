@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = Path(__file__).parent / "models" / "boilerplate.json"
+#: A line of more words is no link, menu or heading; its sentences are judged one by one.
+LINK_WORDS = 24
 
 #: Wording of page furniture in English, French, German and Spanish, by kind.
 _KINDS = {
@@ -36,10 +38,32 @@ _KINDS = {
     "follow": r"^(?:follow\b.{1,40}|(?:sign up|subscribe) (?:for|to)\b.{1,40}|newsletter (?:von|de|abonnieren)\b.{0,40}|folgen sie\b.{1,40}|abonnieren sie\b.{0,40}|abonnez-vous\b.{1,40}|suivez(?:-nous)?\b.{0,40}|inscrivez-vous\b.{0,40}|suscr[íi]base\b.{1,40}|s[íi]ganos\b.{0,40}|siga\b.{1,40}|already (?:a subscriber|have an account|a member)\b.{0,30}|d[ée]j[àa] abonn[ée]\b.{0,30}|(?:bereits|schon) abonn(?:iert|ent)\b.{0,30}|ya (?:es|eres) suscriptor\b.{0,30}|¿ya (?:es|eres) suscriptor.{0,30}|create (?:an|your) (?:free )?account|get our (?:app|newsletter).{0,20})[.!?]?$",
     "script": r"(?:enable|allow|switch on|turn on|activate|requires?|needs?|necesita|n[ée]cessite|ben[öo]tigt|activer|activez|activar|active|activa|habilite|aktivieren|disabled|deaktiviert|d[ée]sactiv[ée]|desactivad[oa]|unsupported|not supported|blocked)\b.{0,60}\b(?:javascript|scripts?|skripte)|(?:javascript|scripts?|skripte)\b.{0,40}\b(?:enable|disabled|required|requis|erforderlich|necesario|aktivieren|deaktiviert|d[ée]sactiv[ée]|desactivad[oa]|blocked|bloqu[ée]s?|bloqueados?|blockiert|on before)",
 }
-_KIND = [(k, re.compile(p, re.I)) for k, p in _KINDS.items()]
-#: Patterns that begin at the line's begin are matched there only.
-_TEST = [(k, p.match if p.pattern.startswith("^") else p.search) for k, p in _KIND]
-_LEGAL = dict(_KIND)["legal"]
+#: Each pattern is matched against lower-cased text. A pattern that is searched comes with literals one of which every match holds,
+#: so that most lines are told apart without it; patterns anchored at the begin are matched there only.
+_NEEDS = {
+    "cookie": ("cookie", "tracker", "traceur", "partner", "partenaire", "socios", "privacy", "choices", "consent", "einwilligung", "datenverarbeitung", "akzeptieren", "accept", "aceptar", "rechazar", "reject", "settings", "einstellungen", "param", "privacidad", "vie priv"),
+    "rights": ("©", "(c)", "copyright", "reserv", "vorbehalten", "droits"),
+    "legal": ("terms ", "privacy", "accessib", "sitemap", "site map", "imprint", "mentions l", "confidentialit", "plan du site", "conditions ", "impressum", "datenschutz", "agb", "barrierefrei", "aviso legal", "mapa ", "tica de ", "condiciones", "gion", "gión"),
+    "script": ("script", "skript"),
+}
+#: The same in order; kinds matched at the begin are joined where they follow each other, the first that matches counts.
+_TEST = [(re.compile("|".join(f"(?P<{k}>{_KINDS[k]})" for k in own)).match, ()) for own in (("skip", "top", "ad", "share", "head", "also"), ("owner", "follow"))]
+_TEST[1:1] = [(re.compile(f"(?P<{k}>{_KINDS[k]})").search, _NEEDS[k]) for k in ("cookie", "rights", "legal")]
+_TEST.append((re.compile(f"(?P<script>{_KINDS['script']})").search, _NEEDS["script"]))
+_ORDER = {k: i for i, k in enumerate(_KINDS)}
+_LEGAL = re.compile(_KINDS["legal"])
+#: Words of a consent notice in English, French, German and Spanish: its subject, what it names beside, who speaks.
+_CONSENT = frozenset("cookie cookies tracker trackers traceur traceurs consent consentement einwilligung zustimmung consentimiento".split())
+_BESIDE = frozenset(
+    "partners partner partenaires partnern socios device devices appareil gerät endgerät dispositivo personalise personalize personalised personalized personnaliser personalisieren personalizar ads advertising publicité publicités "
+    "werbung anzeigen anuncios publicidad privacy choices preferences settings accept reject akzeptieren ablehnen aceptar rechazar accepter refuser analytics measure mesurer messen medir traffic trafic browser browsing technologies "
+    "technologien tecnologías store stocker speichern almacenar einstellungen paramètres préférences preferencias datenschutz privacidad confidentialité policy improve améliorer verbessern mejorar".split()
+)
+_SPEAKER = frozenset("we our us nous nos notre wir unser unsere unseren unserer uns usamos utilizamos nuestro nuestra nuestros nuestras continuing".split())
+_NAMED = _CONSENT | _BESIDE
+#: Words one of which a long notice holds.
+_LONG_GATE = _CONSENT | frozenset("reserved réservés vorbehalten reservados copyright javascript script scripts skripte".split())
+_NOTICES = frozenset(("cookie", "rights", "legal", "owner", "follow", "script", "share"))
 #: Fixed value: words that menus consist of.
 MENU = frozenset(
     "home news research products labs about login podcasts topics help shop press search subscribe markets careers newsletter events support blog "
@@ -64,32 +88,76 @@ def _keywords() -> frozenset[str]:
 
 _KEYWORDS = _keywords()
 _SPLIT = re.compile(r"\s*[|·•›»>/\t]\s*|\s{2,}")
+_SEPARATOR = re.compile(r"[|·•›»>/\t]")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _BLANKS = re.compile(r"[^\S\t\n]+")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _BULLET = re.compile(r"^(?:[-*•+–]|\d{1,3}[.)])\s+")
 _CELL = re.compile(r"^[\d.,%$€ –-]+$")
 _WORD = re.compile(r"\w+")
 
 
-def _shape(t: str) -> str:
-    """The class of a line by its wording and shape."""
+def _wording(t: str, low: str, n: int) -> str | None:
+    """The kind of furniture whose wording a line or sentence of n words has."""
+    bare = low.strip(" \t[](){}<>*-–—:.·•|►▶→↑") if n <= 6 else low
+    for test, needs in _TEST:
+        if needs and not any(map(low.__contains__, needs)):
+            continue
+        hit = test(low)
+        kind = hit.lastgroup if hit else None
+        if bare is not low and (hit := test(bare)) and (kind is None or _ORDER[hit.lastgroup] < _ORDER[kind]):
+            kind = hit.lastgroup
+        if kind:
+            if kind == "legal" and n > 7 and _SENTENCE.search(t) and len(_LEGAL.findall(low)) < 2:
+                continue
+            return kind
+    return None
+
+
+def _long_wording(t: str, low: str, words: list[str]) -> str | None:
+    """The same for a line of more than LINK_WORDS words: notices must make up two thirds of it, sentence by sentence.
+
+    A sentence that is longer itself is a consent notice if it names its subject, three such things in all, and speaks as "we", and
+    every eighth word is one of these.
+    """
+    if _LONG_GATE.isdisjoint(words) and "©" not in t:
+        return None
+    sums: dict[str, int] = {}
+    for part in _SENTENCES.split(t):
+        part_low = part.lower()
+        own = _WORD.findall(part_low)
+        if len(own) <= LINK_WORDS:
+            kind = _wording(part, part_low, part.count(" ") + 1)
+        else:
+            held = set(own)
+            named = held & _NAMED
+            told = len(named) >= 3 and held & _CONSENT and held & _SPEAKER and 8 * sum(w in named or w in _SPEAKER for w in own) >= len(own)
+            kind = "cookie" if told else None
+        if kind in _NOTICES:
+            sums[kind] = sums.get(kind, 0) + len(own)
+    return max(sums, key=sums.__getitem__) if 3 * sum(sums.values()) >= 2 * len(words) > 0 else None
+
+
+def shape(t: str, low: str, words: list[str]) -> str:
+    """The class of a line by its wording and shape. low: the line in lower case; words: its words."""
     raw = t
-    if len(t) > 240 and t.count(" ") >= 24:
-        return "item" if _BULLET.match(t) else "sentence" if _SENTENCE.search(t, len(t) - 8) else "long"
-    t = _BLANKS.sub(" ", t)
-    low = t.lower()
+    spaces = t.count(" ")
+    if len(t) > 240 and spaces >= LINK_WORDS:
+        kind = _long_wording(t, low, words)
+        return kind or ("item" if _BULLET.match(t) else "sentence" if _SENTENCE.search(t, len(t) - 8) else "long")
+    if "  " in t or not (t.isascii() and t.isprintable()):
+        t = _BLANKS.sub(" ", t)
+        low = t.lower()
     n = t.count(" ") + 1
-    words = _WORD.findall(low)
-    if n <= 24 and (n < 5 or not _KEYWORDS.isdisjoint(words) or "©" in t):
-        bare = t.strip(" \t[](){}<>*-–—:.·•|►▶→↑") if n <= 6 else t
-        for kind, test in _TEST:
-            if test(t) or (bare is not t and test(bare)):
-                if kind == "legal" and n > 7 and _SENTENCE.search(t) and len(_LEGAL.findall(t)) < 2:
-                    continue
-                return kind
+    if n > LINK_WORDS:
+        kind = _long_wording(t, low, words)
+    else:
+        kind = _wording(t, low, n) if n < 5 or not _KEYWORDS.isdisjoint(words) or "©" in t else None
+    if kind:
+        return kind
     if _BULLET.match(t):
         return "item"
-    cells = [c for c in _SPLIT.split(t) if c]
+    cells = [c for c in _SPLIT.split(t) if c] if _SEPARATOR.search(t) else [t]  # t has no two blanks in a row
     if len(cells) < 3 and "  " in raw:
         wide = [c for c in _SPLIT.split(raw) if c]
         if wide and sum(c.lower() in MENU for c in wide) * 2 >= len(wide):
@@ -117,15 +185,28 @@ def _shape(t: str) -> str:
     return "long" if n >= 10 else "heading" if n >= 3 else "name"
 
 
-_shape_short = lru_cache(maxsize=50_000)(_shape)
-_KEEP = {"sentence", "long", "item", "row"}
+def _read(t: str) -> tuple[str, list[str]]:
+    low = t.lower()
+    words = _WORD.findall(low)
+    return shape(t, low, words), words
+
+
+_read_short = lru_cache(maxsize=50_000)(_read)
+
+
+def read_line(t: str) -> tuple[str, list[str]]:
+    """(class, words) of a line without outer white space; short lines recur and are kept."""
+    return _read_short(t) if len(t) < 120 else _read(t)
 
 
-def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | None = None, joined: list[bool] | None = None) -> list[tuple]:
-    """What decides each unit, for expand(). tags: the ancestors of each; joined: whether a unit continues the block of the one before."""
-    kinds = [_shape_short(t) if len(t) < 120 else _shape(t) for t in texts]
+def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | None = None, joined: list[bool] | None = None, read: list[tuple[str, list[str]]] | None = None) -> list[tuple]:
+    """What decides each unit, for expand(). tags: the ancestors of each; joined: whether a unit continues the block of the one
+    before; read: read_line() of each, where it is known."""
+    if read is None:
+        read = [read_line(t) for t in texts]
+    kinds = [r[0] for r in read]
     total = len(texts)
-    solid = [i for i, k in enumerate(kinds) if k in ("sentence", "long")]
+    solid = [i for i, k in enumerate(kinds) if k == "sentence" or k == "long"]
     first, last = (solid[0], solid[-1]) if solid else (total, -1)
     name = " ".join(_WORD.findall(title.lower()))
     out = []
@@ -136,7 +217,7 @@ def features(texts: list[str], title: str = "", tags: list[frozenset[str]] | Non
         place = "in" if first <= i <= last else "pre" if i < first else "post"
         special = None
         if k == "heading" or k == "name" or k == "phrase":
-            plain = " ".join(_WORD.findall(t.lower()))
+            plain = " ".join(read[i][1])
             same = bool(plain and name and (plain == name or (len(plain) > 12 and (plain in name or name in plain))))
             run = 0
             while run < 4 and i + run + 1 < total and kinds[i + run + 1] == k:
@@ -219,6 +300,7 @@ def text_units(text: str) -> tuple[list[str], list[int]]:
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 _HIDDEN = ("script", "style", "noscript", "head", "template", "svg", "iframe", "textarea", "title")
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _VOID = frozenset("br hr img input meta link source area base col embed param track wbr".split())
 _INLINE = frozenset("a b i em strong span font u s sub sup code mark q cite abbr time label wbr small".split())
 _ANCESTOR = frozenset("nav header footer aside main article section ul ol li table td th tr h1 h2 h3 h4 h5 h6 p blockquote form button a small div body font figure figcaption".split())
@@ -295,7 +377,7 @@ def html_units(html: str) -> tuple[list[str], list[int], list[frozenset[str]], l
             elif name in _HIDDEN and not m[0].endswith("/>"):
                 hidden = name
                 if name == "head":
-                    t = re.search(r"<title[^>]*>(.*?)</title", html[pos : pos + 5000], re.S | re.I)
+                    t = _TITLE.search(html, pos)
                     title = unescape(t[1]) if t else ""
             elif name not in _VOID:
                 closes = _CLOSES.get(name)
@@ -332,29 +414,22 @@ def furniture_html(html: str | None) -> list[int]:
     return [n for n, w in weight.items() if w > 0]
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def text_furniture(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for text, title in batches:
-        yield pd.Series([furniture_lines(x, t) for x, t in zip(text, title)])
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def html_furniture(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for html in batches:
         yield pd.Series([furniture_html(x) for x in html])
 
 
-def page_furniture(items: DataFrame, pages: DataFrame, faulty: DataFrame) -> DataFrame:
-    """(table_name, rec_no, line_no): lines outside the main body in the content of ``items`` and the html of ``pages``.
+def page_furniture(scan: DataFrame, pages: DataFrame, faulty: DataFrame) -> DataFrame:
+    """(table_name, rec_no, line_no): lines outside the main body in the content of items and the html of ``pages``.
 
-    ``faulty``: (row_no) of items to leave out. Pages count with status 200. Null and blank texts have no line; lines without
-    visible text are in neither class. Extra columns are ignored; repeated rows give repeated lines.
+    ``scan``: scan.scanned(items, furniture=True); ``faulty``: (row_no) of items to leave out. Pages count with status 200. Null
+    and blank texts have no line; lines without visible text are in neither class. Extra columns are ignored; repeated rows give
+    repeated lines.
     """
-    texts = items.filter(F.col("content").rlike(r"\S"))
-    found = texts.select(F.col("row_no"), text_furniture(F.col("content"), F.coalesce("title", F.lit(""))).alias("lines"))
-    # joined after the model: only line numbers are shuffled, never texts
+    found = scan.filter(F.size("furniture") > 0).select("row_no", "furniture")
     kept = found.join(faulty.select("row_no", F.lit(True).alias("faulty")).distinct(), "row_no", "left").filter(F.col("faulty").isNull())
-    a = kept.select(F.lit("webset_items").alias("table_name"), F.col("row_no").alias("rec_no"), F.explode("lines").alias("line_no"))
+    a = kept.select(F.lit("webset_items").alias("table_name"), F.col("row_no").alias("rec_no"), F.explode("furniture").alias("line_no"))
     htmls = pages.filter((F.col("status") == 200) & F.col("html").isNotNull())
     b = htmls.select(F.lit("fetch_results").alias("table_name"), F.col("fetch_no").alias("rec_no"), F.explode(html_furniture("html")).alias("line_no"))
     return a.unionByName(b)

@@ -22,7 +22,7 @@ _BODY = {"sentence", "long", "item", "row"}
 
 def label_text(texts: list[str], title: str = "", tags: list[frozenset[str]] | None = None) -> list[int]:
     """Labels of a page's units by rules."""
-    kinds = [B._shape(t) for t in texts]
+    kinds = [B.read_line(t)[0] for t in texts]
     total = len(texts)
     solid = [i for i, k in enumerate(kinds) if k in _BODY]
     last = solid[-1] if solid else -1

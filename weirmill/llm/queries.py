@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.llm import batch_dedup, boilerplate, mixing, packing, pii, residue, site_lines, splitting, survivors
+from weirmill.llm import batch_dedup, boilerplate, mixing, packing, pii, residue, scan, site_lines, splitting, survivors
 from weirmill.tables import table
 
 
@@ -18,8 +18,8 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "webset_items")
-    return boilerplate.page_furniture(items, table(spark, sf_dir, "fetch_results"), residue.faulty_contents(items))
+    read = scan.scanned(table(spark, sf_dir, "webset_items"), furniture=True)
+    return boilerplate.page_furniture(read, table(spark, sf_dir, "fetch_results"), residue.faulty_contents(read))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,21 +51,27 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.faulty_fields(table(spark, sf_dir, "webset_items"))
+    items = table(spark, sf_dir, "webset_items")
+    return residue.faulty_fields(items, scan.scanned(items))
 
 
 def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.real_items(table(spark, sf_dir, "webset_items")).select("row_no", "id", "url", "title")
+    items = table(spark, sf_dir, "webset_items")
+    return residue.real_items(items, scan.scanned(items)).select("row_no", "id", "url", "title")
+
+
+def _prints(items: DataFrame) -> DataFrame:
+    read = scan.scanned(items, prints=True)
+    return batch_dedup.prints(read, residue.faulty_contents(read))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "webset_items")
-    return batch_dedup.batch_repeats(items, residue.faulty_contents(items))
+    return batch_dedup.batch_repeats(_prints(table(spark, sf_dir, "webset_items")))
 
 
 def p7_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "webset_items")
-    return batch_dedup.new_items(items, residue.faulty_contents(items)).select("row_no", "batch_no", "url", "title")
+    return batch_dedup.new_items(items, _prints(items)).select("row_no", "batch_no", "url", "title")
 
 
 def _tokens() -> Column:

@@ -58,6 +58,10 @@ def nearly_same(a: bytes, b: bytes) -> bool:
     longer, shorter = max(len(x), len(y)), min(len(x), len(y))
     if shorter < NEAR * longer:
         return False
+    # words in common, in any order and in classes, are as many at least; so are pairs of words that stay side by side
+    lost = len(x) + len(y) - 2 * NEAR * longer
+    if _in_common(x, y) < NEAR * longer - 1e-9 or shorter > 1 and _in_common(x[1:] * _TWO + x[:-1], y[1:] * _TWO + y[:-1]) < NEAR * longer - 1 - lost - 1e-9:
+        return False
     # words at both ends that agree are part of some longest common subsequence
     same = x[:shorter] == y[:shorter]
     head = shorter if same.all() else int(same.argmin())
@@ -68,6 +72,14 @@ def nearly_same(a: bytes, b: bytes) -> bool:
     return head + tail + middle >= NEAR * longer - 1e-9
 
 
+_TWO = np.uint16(40_503)
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Entries two rows of numbers have in common, whatever their order; by 1,024 classes, so never too few."""
+    return int(np.minimum(np.bincount(x & 1023, minlength=1024), np.bincount(y & 1023, minlength=1024)).sum())
+
+
 @F.pandas_udf(T.BooleanType())
 def _same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
@@ -93,36 +105,54 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0,
     rows are left out, and pairs neither of which is ``fresh``.
     """
     level = np.array([(len(b) * 8 // BITS).bit_length() - 1 for b in bits], np.int64)
-    found = []
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    span = int(n.max()) + 2 if len(n) else 1
+    at_n = group * span + n
+    upto = np.searchsorted(at_n, group * span + np.minimum(np.floor(n / NEAR + 1e-9).astype(np.int64), span - 1), "right")  # rows long enough at most
+    fresh = np.ones(len(key), bool) if fresh is None else fresh
+    new = np.flatnonzero(fresh)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for at in np.unique(level):
         width = (BITS << at) // 64
         mine = np.flatnonzero((level == at) | (level == at + 1))
-        place = np.full(len(key), -1)
-        place[mine] = np.arange(len(mine))
-        table = np.empty((len(mine), width), np.uint64)
+        table = np.zeros((width, len(key)), np.uint64)
         same = level[mine] == at
-        table[same] = np.frombuffer(b"".join(bits[i] for i in mine[same]), np.uint64).reshape(-1, width)
+        table[:, mine[same]] = np.frombuffer(b"".join([bits[i] for i in mine[same]]), np.uint64).reshape(-1, width).T
         if not same.all():  # longer texts: the same class of a word modulo half as many, so both halves are one
-            twice = np.frombuffer(b"".join(bits[i] for i in mine[~same]), np.uint64).reshape(-1, 2 * width)
-            table[~same] = twice[:, :width] ^ twice[:, width:]
-        i = np.flatnonzero(level == at)
-        for shift in range(1, len(key)):
-            i = i[i + shift < len(key)]
-            i = i[(key[i + shift] == key[i]) & (n[i] >= NEAR * n[i + shift] - 1e-9)]
-            if not len(i):
-                break
-            first = i[i + shift >= old]
-            if fresh is not None:
-                first = first[fresh[first] | fresh[first + shift]]
-            j = first + shift
-            apart = np.zeros(len(first), np.int64)
-            x, y = place[first], place[j]
-            for k in range(width):
-                apart += np.bitwise_count(table[x, k] ^ table[y, k])
-            ok = apart <= n[first] + n[j] - 2 * np.ceil(NEAR * n[j] - 1e-9)
-            if ok.any():
+            twice = np.frombuffer(b"".join([bits[i] for i in mine[~same]]), np.uint64).reshape(-1, 2 * width)
+            table[:, mine[~same]] = (twice[:, :width] ^ twice[:, width:]).T
+        own = np.flatnonzero(level == at)
+        for i, to in ((own[fresh[own]], None), (own[~fresh[own]], new)):  # fresh ones with all, the others with fresh ones
+            low = np.maximum(i + 1, old)
+            high = np.maximum(upto[i], low)
+            if to is not None:
+                low, high = np.searchsorted(to, low), np.searchsorted(to, high)
+            for first, j in _ranges(i, low, high):
+                j = j if to is None else to[j]
+                room = n[first] + n[j] - 2 * np.ceil(NEAR * n[j] - 1e-9).astype(np.int64)
+                apart = np.bitwise_count(table[0][first] ^ table[0][j]).astype(np.int64)
+                for k in range(1, width):
+                    ok = apart <= room
+                    first, j, room, apart = first[ok], j[ok], room[ok], apart[ok]
+                    apart = apart + np.bitwise_count(table[k][first] ^ table[k][j])
+                ok = apart <= room
                 found.append((first[ok], j[ok]))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def _ranges(i: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each entry of i with each number of its range, at most so many pairs at once (or one entry's)."""
+    size = high - low
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(i):
+        done = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        part = size[begin:stop]
+        if part.any():
+            shift = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+            yield np.repeat(i[begin:stop], part), np.repeat(low[begin:stop], part) + shift
+        begin = stop
 
 
 _PAIR = "a long, b long, batch_a int, batch_b int"

@@ -123,19 +123,26 @@ def _long_wording(t: str, low: str, words: list[str]) -> str | None:
     if _LONG_GATE.isdisjoint(words) and "©" not in t:
         return None
     sums: dict[str, int] = {}
+    other, total = 0, t.count(" ") + 1
     for part in _SENTENCES.split(t):
+        n = part.count(" ") + 1
         part_low = part.lower()
-        own = _WORD.findall(part_low)
-        if len(own) <= LINK_WORDS:
-            kind = _wording(part, part_low, part.count(" ") + 1)
+        kind = None
+        if n <= LINK_WORDS:
+            kind = _wording(part, part_low, n)
         else:
+            own = _WORD.findall(part_low)
             held = set(own)
             named = held & _NAMED
-            told = len(named) >= 3 and held & _CONSENT and held & _SPEAKER and 8 * sum(w in named or w in _SPEAKER for w in own) >= len(own)
-            kind = "cookie" if told else None
+            if len(named) >= 3 and held & _CONSENT and held & _SPEAKER and 8 * sum(w in named or w in _SPEAKER for w in own) >= len(own):
+                kind = "cookie"
         if kind in _NOTICES:
-            sums[kind] = sums.get(kind, 0) + len(own)
-    return max(sums, key=sums.__getitem__) if 3 * sum(sums.values()) >= 2 * len(words) > 0 else None
+            sums[kind] = sums.get(kind, 0) + n
+        else:
+            other += n
+            if 3 * other > total:
+                return None
+    return max(sums, key=sums.__getitem__) if sums else None
 
 
 def shape(t: str, low: str, words: list[str]) -> str:

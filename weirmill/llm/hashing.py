@@ -52,24 +52,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def paragraph_hashes(words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the content-defined runs of words; short texts get a second, finer set."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    mixed = words * np.uint64(0x9E3779B97F4A7C15)
+def paragraph_hashes(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of each text's content-defined runs of words, without repeats; short texts get a second, finer set.
+
+    All texts are worked off at once, as one long row of words.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.sum():
+        return [np.empty(0, np.int64)] * len(texts)
+    mixed = np.concatenate(texts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    powers, inverses = _powers(len(words))
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers)])
-    out = []
-    for run in (RUN, RUN // 2) if len(words) < SHORT else (RUN,):
-        ends = np.flatnonzero(mixed & np.uint64(run - 1) == 0) + 1
-        if not len(ends) or ends[-1] != len(words):
-            ends = np.append(ends, len(words))
+    stops = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    within = np.arange(len(mixed)) - np.repeat(stops - sizes, sizes)
+    powers, inverses = _powers(int(sizes.max()))
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[within])])
+    owners, hashes = [], []
+    for run in (RUN, RUN // 2):
+        cut = mixed & np.uint64(run - 1) == 0
+        cut[stops[sizes > 0] - 1] = True
+        ends = np.flatnonzero(cut) + 1
         starts = np.concatenate([[0], ends[:-1]])
-        out.append((prefix[ends] - prefix[starts]) * inverses[starts] * np.uint64(2 * run + 1) + (ends - starts).astype(np.uint64))
-    return np.unique(np.concatenate(out)).astype(np.int64)
+        own = text[starts]
+        if run < RUN:
+            short = sizes[own] < SHORT
+            ends, starts, own = ends[short], starts[short], own[short]
+        owners.append(own)
+        hashes.append((prefix[ends] - prefix[starts]) * inverses[within[starts]] * np.uint64(2 * run + 1) + (ends - starts).astype(np.uint64))
+    own, found = np.concatenate(owners), np.concatenate(hashes).view(np.int64)
+    order = np.lexsort((found, own))
+    own, found = own[order], found[order]
+    once = np.concatenate([[True], (own[1:] != own[:-1]) | (found[1:] != found[:-1])])
+    own, found = own[once], found[once]
+    return np.split(found, np.searchsorted(own, np.arange(1, len(texts))))
 
 
 def parities(words: np.ndarray) -> bytes:

@@ -89,6 +89,7 @@ def scanned(items: DataFrame, furniture: bool = False, prints: bool = False) ->
         F.coalesce(F.col("title") if "title" in columns else none.cast("string"), F.lit("")).alias("title"), text.alias("content"),
     )
     shaped = furniture or prints
+    none_words = np.empty(0, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +109,7 @@ def scanned(items: DataFrame, furniture: bool = False, prints: bool = False) ->
                 out.append(pa.array([None if w is None else w.tobytes() for w in short], pa.binary()))
                 out.append(pa.array([0 if w is None else len(w) for w in short], pa.int32()))
                 out.append(pa.array([None if w is None else parities(w) for w in short], pa.binary()))
-                out.append(_lists([paragraph_hashes(w.astype(np.uint64)) if w is not None else [] for w in made], pa.int64()))
+                out.append(_lists(paragraph_hashes([none_words if w is None else w for w in made]), pa.int64()))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = _KEPT + _MADE + (", furniture array<int>" if furniture else "") + (", exact binary, words binary, n_words int, bits binary, paragraphs array<long>" if prints else "")

@@ -97,14 +97,17 @@ def prints(scan: DataFrame, faulty: DataFrame) -> DataFrame:
     return marks.select("row_no", "batch_no", "page", "stated", F.when(F.col("no_text").isNull(), F.col("exact")).alias("exact"), "n_words", "bits", "words", "paragraphs")
 
 
-def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(key: np.ndarray, n: np.ndarray, bits: pa.Array, old: int = 0, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of rows with one key that may be nearly the same; the rows are ordered by key and n.
 
     Left out are only pairs that cannot be: if NEAR of the n_j >= n_i words agree in order, at most
     n_i + n_j - 2 * ceil(NEAR * n_j) words are added or taken away, and no more parity bits differ. Pairs of the first ``old``
     rows are left out, and pairs neither of which is ``fresh``.
     """
-    level = np.array([(len(b) * 8 // BITS).bit_length() - 1 for b in bits], np.int64)
+    begins = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64) // 8  # all are whole words
+    held = np.frombuffer(bits.buffers()[2], np.uint8) if len(bits) else np.empty(0, np.uint8)
+    held = held[: len(held) // 8 * 8].view(np.uint64)
+    level = np.log2(np.maximum(np.diff(begins) * 64 // BITS, 1)).round().astype(np.int64)
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     span = int(n.max()) + 2 if len(n) else 1
     at_n = group * span + n
@@ -117,10 +120,11 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: list[bytes], old: int = 0,
         mine = np.flatnonzero((level == at) | (level == at + 1))
         table = np.zeros((width, len(key)), np.uint64)
         same = level[mine] == at
-        table[:, mine[same]] = np.frombuffer(b"".join([bits[i] for i in mine[same]]), np.uint64).reshape(-1, width).T
+        for k in range(width):
+            table[k][mine[same]] = held[begins[mine[same]] + k]
         if not same.all():  # longer texts: the same class of a word modulo half as many, so both halves are one
-            twice = np.frombuffer(b"".join([bits[i] for i in mine[~same]]), np.uint64).reshape(-1, 2 * width)
-            table[:, mine[~same]] = (twice[:, :width] ^ twice[:, width:]).T
+            for k in range(width):
+                table[k][mine[~same]] = held[begins[mine[~same]] + k] ^ held[begins[mine[~same]] + width + k]
         own = np.flatnonzero(level == at)
         for i, to in ((own[fresh[own]], None), (own[~fresh[own]], new)):  # fresh ones with all, the others with fresh ones
             low = np.maximum(i + 1, old)
@@ -170,12 +174,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, old
         rows = pa.Table.from_batches(held)
         key, n, row_no, batch_no, fresh, side = (rows[c].to_numpy() for c in ("group", "n", "row_no", "batch_no", "fresh", "side"))
-        i, j = close_pairs(key, n, rows["bits"].to_pylist(), old, fresh)
+        i, j = close_pairs(key, n, pa.concat_arrays(rows["bits"].chunks), old, fresh)
         across = (side[i] == 0) | (side[i] != side[j])
         i, j = i[across], j[across]
         swap = row_no[i] > row_no[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        once = np.unique(np.stack([row_no[i], row_no[j]]), axis=1, return_index=True)[1]
+        order = np.lexsort((row_no[j], row_no[i]))
+        i, j = i[order], j[order]
+        once = np.ones(len(i), bool)
+        once[1:] = (row_no[i[1:]] != row_no[i[:-1]]) | (row_no[j[1:]] != row_no[j[:-1]])
         i, j = i[once], j[once]
         rest = np.flatnonzero((key == key[-1]) & (n >= NEAR * n[-1] - 1e-9))
         held, old = rows.slice(rest[0]).to_batches(), len(rest)

@@ -29,7 +29,7 @@ def missing_nodes(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): nodes within ``depth`` hops of each start (column ``start``), itself excluded, at their least depth."""
-    links = both_ways(edges)
+    links = stored(both_ways(edges), "links")
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
     for d in range(1, depth + 1):
@@ -42,7 +42,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int) -> DataFrame:
     """(source, target, path): a shortest path of at most ``max_nodes`` nodes, the smallest by its nodes in order; a node's path
     to itself is itself, even if it has no edge. Pairs without a path are left out."""
-    links = both_ways(edges)
+    links = stored(both_ways(edges), "links")
     trivial = pairs.filter("source = target").select("source", "target", F.array("source").alias("path"))
     goals = pairs.filter("source <> target").distinct()
     front = goals.select("source", "target", F.array("source").alias("path"), F.col("source").alias("at"))
@@ -58,6 +58,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int) -> DataFr
     return found
 
 
+def cytoscape(nodes: DataFrame, key: str, properties: list[str], edges: DataFrame) -> DataFrame:
+    """(kind, element): the graph's elements as JSON objects, one a row, so that a graph of any size can be written as lines."""
+    node = F.to_json(F.struct(F.struct(F.col(key).alias("id"), *properties).alias("data")))
+    edge = F.to_json(F.struct(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label").alias("data")))
+    return nodes.select(F.lit("node").alias("kind"), node.alias("element")).unionByName(edges.select(F.lit("edge").alias("kind"), edge.alias("element")))
+
+
+def read_pattern(pattern: str) -> str:
+    """Which scan a graph pattern asks for: ``edges`` with an arrow, else ``nodes``; other text is an error."""
+    if not pattern.strip().upper().startswith("MATCH") or "RETURN" not in pattern.upper():
+        raise ValueError(f"unsupported pattern {pattern!r}")
+    return "edges" if "->" in pattern else "nodes"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component with two nodes or more."""
     return linked_classes(edges).withColumnRenamed("label", "component")

@@ -17,10 +17,10 @@ def search_run(results: DataFrame, known: DataFrame, url: str, mark: str, order:
     """
     seen_marks = known.select(F.col(mark)).dropna().distinct().withColumn("__mark", F.lit(True))
     seen_urls = known.select(F.col(url)).dropna().distinct().withColumn("__url", F.lit(True))
-    first = F.row_number().over(Window.partitionBy(mark).orderBy(order))
-    joined = results.join(seen_marks, mark, "left").join(seen_urls, url, "left").withColumn("__first", first)
+    firsts = results.filter(F.col(mark).isNotNull()).groupBy(mark).agg(F.min(order).alias("__first"))  # combined before the shuffle
+    joined = results.join(seen_marks, mark, "left").join(seen_urls, url, "left").join(firsts, mark, "left")
     action = (
-        F.when(F.col(mark).isNotNull() & (F.col("__mark").isNotNull() | (F.col("__first") > 1)), "skip_hash").when(F.col("__url").isNotNull(), "skip_url").otherwise("add")
+        F.when(F.col(mark).isNotNull() & (F.col("__mark").isNotNull() | (F.col("__first") < F.col(order))), "skip_hash").when(F.col("__url").isNotNull(), "skip_url").otherwise("add")
     )
     return joined.select(order, action.alias("action"))
 

@@ -54,7 +54,7 @@ def chk_embedding(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_sha(s: SparkSession, d: str) -> DataFrame:
-    hashes = _docs(s, d).select("doc_id", X.content_sha(F.col("text")).alias("sha"))
+    hashes = stored(_docs(s, d).select("doc_id", X.content_sha(F.col("text")).alias("sha")), "hashes")
     classes = hashes.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))
     return lookup_join(hashes, classes, ["sha"]).select("doc_id", "first_doc", "n_docs")
 

@@ -2,7 +2,8 @@
 
 The plan is made on the histogram of sizes alone, which has at most ``capacity`` entries however many items there are: sums of
 one, two and three sizes are hashed by value, so a gap is closed exactly by looking up its complement among what is still
-available; what no exact combination uses is placed by best fit. The plan is a list of runs (size, ranks from-to, containers
+available; what no exact combination uses is placed by best fit. A third part or more that is used up is looked for among one
+pair a sum, so a triple may be passed over; it is placed by best fit then. The plan is a list of runs (size, ranks from-to, containers
 from-to), and items find their container by their rank within their size.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,8 @@ from weirmill.session import stored
 #: Capacity in tokens. The plan's size is bounded by it; see MAX_CAPACITY.
 CAPACITY = 2048
 MAX_CAPACITY = 65_536
+#: Items of one block, within which items of one size are numbered by a sort; there are as many blocks as the items need.
+BLOCK_ITEMS = 100_000
 #: Tokens of the public word-and-punctuation tokenizer: runs of word characters, runs of other visible characters.
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WHITE_CLASS}]+"
 
@@ -29,66 +33,103 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("int")
 
 
+class SumIndex:
+    """Which sizes add up to a sum: tables by sum of single sizes, pairs and triples, each with one combination a sum.
+
+    A table entry is checked against what is left when it is looked up, and sought anew, over all sizes left, once it fails. Tables
+    are made again whenever half of the sizes are used up. Building takes sizes x capacity steps on arrays, a search one row of it.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, np.int64)
+        for size, n in counts.items():
+            self.left[size] = n
+        self.build()
+
+    def build(self) -> None:
+        self.sizes = np.flatnonzero(self.left)
+        self.pair = np.zeros(self.capacity + 1, np.int32)  # the larger of two sizes with this sum, or 0
+        for a in self.sizes.tolist():
+            other = self.sizes[: np.searchsorted(self.sizes, min(a, self.capacity - a), "right")]
+            self.pair[a + other] = a
+        sums = np.flatnonzero(self.pair)
+        self.triple = np.zeros(self.capacity + 1, np.int32)  # one of three sizes with this sum, the pair table has the others
+        for a in self.sizes.tolist():
+            self.triple[a + sums[: np.searchsorted(sums, self.capacity - a, "right")]] = a
+
+    def lasts(self, parts: tuple[int, ...]) -> int:
+        return min(int(self.left[s]) // parts.count(s) for s in set(parts))
+
+    def take(self, parts: tuple[int, ...], times: int) -> None:
+        for s in parts:
+            self.left[s] -= times
+        if 2 * np.count_nonzero(self.left[self.sizes]) < len(self.sizes) and len(self.sizes) > 32:
+            self.build()
+
+    def two(self, gap: int, beside: int) -> tuple[int, int] | None:
+        a = int(self.pair[gap])
+        if a and self.lasts((beside, a, gap - a)):
+            return a, gap - a
+        if not a:
+            return None
+        own = self.sizes[np.searchsorted(self.sizes, (gap + 1) // 2) : np.searchsorted(self.sizes, gap)]
+        own = own[(self.left[own] > 0) & (self.left[gap - own] > 0)]
+        for a in own[::-1].tolist():  # only equal or large parts that are scarce can fail
+            if self.lasts((beside, a, gap - a)):
+                self.pair[gap] = a
+                return a, gap - a
+        return None
+
+    def three(self, gap: int, beside: int) -> tuple[int, int, int] | None:
+        a = int(self.triple[gap])
+        if not a:
+            return None
+        b = int(self.pair[gap - a])
+        if b and self.lasts((beside, a, b, gap - a - b)):
+            return a, b, gap - a - b
+        own = self.sizes[: np.searchsorted(self.sizes, gap)]
+        b = self.pair[gap - own]
+        c = gap - own - b
+        for i in np.flatnonzero((self.left[own] > 0) & (b > 0) & (self.left[b] > 0) & (self.left[c] > 0))[::-1].tolist():
+            parts = (int(own[i]), int(b[i]), int(c[i]))
+            if self.lasts((beside, *parts)):
+                self.triple[gap] = parts[0]
+                return parts
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Runs (size, first rank, number of items, first container, items a container) that place every item.
 
-    Containers are numbered from 0. For each size from the largest: the gap beside it is closed by one, two or three smaller
-    sizes whose sum is exactly the gap; a combination is used as often as its sizes last. Rests go by best fit to the container
-    with the smallest room that takes them.
+    Containers are numbered from 0. For each size from the largest: the gap beside it is closed by one, two or three sizes whose
+    sum is exactly the gap, looked up in the index; a combination is used as often as its sizes last, which uses one of them up, so
+    there are no more combinations than sizes. Rests go by best fit to the container with the smallest room that takes them.
     """
-    left = dict(counts)
+    index = SumIndex(counts, capacity)
+    left = index.left
     taken = dict.fromkeys(counts, 0)
     runs: list[tuple[int, int, int, int, int]] = []
     containers = 0
-    sizes = sorted(left, reverse=True)
-
-    def use(parts: tuple[int, ...], times: int) -> None:
-        nonlocal containers
-        for size in set(parts):
-            k = parts.count(size)
-            runs.append((size, taken[size], k * times, containers, k))
-            taken[size] += k * times
-            left[size] -= k * times
-        containers += times
-
-    def lasts(parts: tuple[int, ...]) -> int:
-        return min(left[s] // parts.count(s) for s in set(parts))
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        """The pair of available sizes with this sum whose larger part is greatest."""
-        for a in sizes:
-            if a > most or a >= gap:
-                continue
-            if 2 * a < gap:
-                return None
-            if left[a] and left.get(gap - a, 0) and (a != gap - a or left[a] > 1):
-                return a, gap - a
-        return None
+    sizes = sorted(counts, reverse=True)
 
     for big in sizes:
         while left[big]:
             gap = capacity - big
-            if gap == 0:
-                use((big,), left[big])
-                break
-            found: tuple[int, ...] | None = None
-            if gap <= big and left.get(gap, 0) and lasts((big, gap)):
-                found = (gap,)
-            if not found and (two := pair(gap, min(big, gap - 1))) and lasts((big, *two)):
-                found = two
-            if not found:
-                for a in sizes:  # the largest third part first
-                    if a > big or a >= gap or not left[a]:
-                        continue
-                    if 3 * a < gap:
-                        break
-                    two = pair(gap - a, a)
-                    if two and lasts((big, a, *two)):
-                        found = (a, *two)
-                        break
-            if not found:
+            found: tuple[int, ...] | None = ()
+            if gap:
+                found = (gap,) if left[gap] and index.lasts((big, gap)) else index.two(gap, big) or index.three(gap, big)
+            if found is None:
                 break
-            use((big, *found), lasts((big, *found)))
+            parts = (big, *found)
+            times = index.lasts(parts)
+            for size in set(parts):
+                k = parts.count(size)
+                runs.append((size, taken[size], k * times, containers, k))
+                taken[size] += k * times
+            index.take(parts, times)
+            containers += times
+    left = {size: int(left[size]) for size in counts}
 
     rooms: list[int] = []  # rooms that occur, ascending; boxes of each: [first container, number]
     boxes: dict[int, list[list[int]]] = {}
@@ -149,7 +190,9 @@ def pack(items: DataFrame, item: str, size: Column, capacity: int = CAPACITY) ->
         "item", "units", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part")
     ).select("item", "part", (F.col("part").cast("long") * capacity).alias("start_unit"), F.least(F.lit(capacity), F.col("units") - F.col("part") * F.lit(capacity).cast("long")).cast("int").alias("n_units"))
     # ranks within a size: rows of a block are numbered in the block, blocks of a size by a running sum of their counts
-    blocked = stored(parts.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(1024)).cast("int")), "parts")
+    parts = stored(parts, "parts")
+    n_blocks = max(16, -(-parts.count() // BLOCK_ITEMS))
+    blocked = parts.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(n_blocks)).cast("int"))
     filled = blocked.filter("n_units > 0")
     per_block = filled.groupBy("n_units", "block").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.n_units: r.n for r in per_block.groupBy("n_units").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

@@ -422,3 +422,37 @@ def test_held_out_agreement():
     right = [a == b for units, labels in pages for a, b in zip(boilerplate.model().decode(units), labels)]
     assert np.mean(right) > 0.98
     assert table is not None
+
+
+def test_emails_of_any_length():
+    words = pii.Words(NAMES)
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.find_personal(text, words)]
+    assert found("ping me at v.polack.19@lab.example or later") == [("email", "v.polack.19@lab.example")]
+    long = "a" * 600 + "@lab.example"
+    assert found(f"Mail {long} now") == [("email", long)]
+    assert found("Mail v.polack AT " + ".".join(["lab"] * 90) + ".example now") == [("email", "v.polack AT " + ".".join(["lab"] * 90) + ".example")]
+
+
+def test_titled_names_need_no_list():
+    text = "Mr. John Smith met Dr. Ana P. Velasco-Ruiz, but Dr. Lane Institute and M. Lab Group did not."
+    assert [text[a:b] for _, a, b in pii.find_personal(text, pii.Words([("Velandra", "given"), ("Polack", "family")]))] == ["John Smith", "Ana P. Velasco-Ruiz"]
+
+
+def test_lettered_numbers_match_the_whole_text():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("AB 12345678-.Zé\n") for _ in range(rng.randint(5, 80)))
+        runs = [m.span() for m in pii._INTEGER.finditer(text)]
+        assert [m.span() for m in pii._lettered(text, runs)] == [m.span() for m in pii._ALNUM.finditer(text)], text
+
+
+def test_plan_is_bounded_at_large_capacities():
+    counts = {i: 3 for i in range(1, 8193)}
+    runs = packing.plan(counts, 8192)
+    room = collections.Counter()
+    for size, _, n, first, each in runs:
+        for i in range(n):
+            room[first + i // each] += size
+    assert len(runs) < 3 * len(counts) and sum(room.values()) == 3 * sum(counts) and max(room.values()) <= 8192
+    index = packing.SumIndex({2: 1, 3: 1, 5: 1, 7: 1}, 20)
+    assert index.two(8, 7) in ((5, 3),) and index.three(10, 7) and sum(index.three(10, 7)) == 10 and index.two(4, 7) is None

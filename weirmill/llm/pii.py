@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ _AT = r"(?:@|\s*[\[({<]\s*(?:at|@|arroba|chez|[àa])\s*[\])}>]\s*|\s+(?:AT|at|ar
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:DOT|dot|punkt|point|punto)\s+)"
 _EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _AT_MARK = re.compile(r"@|[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]|\s(?:AT|at|arroba)\s+[A-Za-z0-9-]+(?:\s+(?:DOT|dot|punkt|punto|point)\s|\s*[\[({<]\s*(?:dot|punkt|punto|point)|\.[a-z])")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|pdf|json|ts|zip)$|(?:^|\.)\d+$", re.I)
 _NUMBER = re.compile(r"(?<![\w.,@/#%-])(?:\+|\()?\d(?:[\d  ./()‑–-]*\d)(?![\w@]|[.,]\d)")
 _ALNUM = re.compile(
@@ -61,60 +63,86 @@ _NAME_FIRST = re.compile(
     rf"|(?<![\w-])(?:{_UNIT})?(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]aseo|[Pp]laza|[Pp]asaje|[Cc]amino|[Rr]onda|[Tt]raves[íi]a|[Cc]allej[óo]n|[Cc]arretera|[Gg]lorieta|[Cc]uesta)(?: (?:de la|de los|de las|del|de))? ?{_CAP}(?: {_CAP})?,?(?: n\.?[ºo°]\.?| n[úu]m\.?| n[úu]mero)? ?$"
     rf"|(?<![\w-])(?:(?:Old|New|Upper|Lower) )?{_CAP} {_STREET}\.?,? (?:No\.? ?|nr\.? ?)?$"
 )
-_NAME_ENDS = tuple(
-    f"{w} " for w in "straße strasse str. weg allee platz gasse ufer ring damm steig hof markt chaussee graben street st st. lane ln row road rd rd. avenue ave ave. boulevard blvd blvd. drive close court way place square terrace no. nr.".split()
-) + ("street, ", "lane, ", "row, ", "road, ", "avenue, ", "drive, ", "close, ")
-_NAME_PARTS = ("calle", "c/", "avenida", "avda", "paseo", "plaza", "pasaje", "camino", "ronda", "traves", "callej", "carretera", "glorieta", "cuesta")
-_NAME_LEADS = ("am ", "an der ", "im ", "zum ", "zur ", "auf dem ", "unter den ", "hinter der ", "beim ")
-
-
-def _may_name(before: str) -> bool:
-    low = before.lower()
-    if low.endswith(_NAME_ENDS):
-        return True
-    for p in _NAME_PARTS:
-        if p in low:
-            return True
-    tail = low[-30:]
-    for p in _NAME_LEADS:
-        if p in tail:
-            return True
-    return False
+#: Fixed value: what stands in lower case between the words of a street's name and its number.
+_SMALL = frozenset(
+    "de la los las del den der dem an auf unter hinter am im zum zur beim calle c/ avenida avda avda. paseo plaza pasaje camino ronda travesía travesia callejón callejon carretera glorieta cuesta "
+    "n n. nº n° n.º n.° no no. nr nr. núm núm. num num. número numero straße strasse str. weg allee platz gasse ufer ring damm steig hof markt chaussee graben".split()
+)
+
+
+def _lead(text: str, a: int) -> int:
+    """Where the run of capitalised and small words, flat numbers and commas before ``a`` begins, within the line."""
+    begin = a
+    while begin:
+        stop = begin
+        while stop and text[stop - 1] in " ,\xa0":
+            stop -= 1
+        at = stop
+        while at and not text[at - 1].isspace():
+            at -= 1
+        word = text[at:stop]
+        bare = word.lstrip("([{\"'«“„‘¿¡")
+        if not bare or not (bare[0].isupper() or bare.lower() in _SMALL or (begin < a and bare.lstrip("#")[:1].isdigit() and len(bare) < 7)):
+            break
+        begin = stop - len(bare)
+        if bare is not word and bare != word:
+            break
+    return begin
 
 
 _INTEGER = re.compile(r"\d+")
 _REST = re.compile(r"\d{1,4} ?[a-zA-Z]?(?:[/-]\d{1,3})?(?![\w:]|[.,]\d)")
 
 
-def address_spans(text: str) -> list[tuple[int, int, bool]]:
-    """Candidate addresses (start, end, begins with a flat or unit): each house number is tried with what follows and precedes it."""
+def address_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, bool]]:
+    """Candidate addresses (start, end, begins with a flat or unit): each house number is tried with what follows and precedes it.
+
+    runs: the text's runs of digits, where they are known.
+    """
     out = []
     last = 0
-    for m in _INTEGER.finditer(text):
-        a, b = m.span()
+    for a, b in [m.span() for m in _INTEGER.finditer(text)] if runs is None else runs:
         if b - a > 5 or a < last:
             continue
-        hit = _NUMBER_FIRST.match(text, a)
-        if hit and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-")):
-            unit = _UNIT_BEFORE.search(text, max(0, a - 24), a)
-            start = unit.start() if unit else a
-            out.append((start, hit.end(), bool(unit)))
-            last = hit.end()
-            continue
-        if b - a > 4:
-            continue
-        begin = max(0, a - 60)
-        cut = text.rfind("\n", begin, a)
-        before = text[cut + 1 if cut >= 0 else begin : a]
-        if before[-1:] in (" ", "/", "º", "°", "o", ".", ",") and _may_name(before):
-            rest = _REST.match(text, a)
-            hit = _NAME_FIRST.search(before)
-            if rest and hit:
-                out.append((a - len(before) + hit.start(), rest.end(), bool(re.match(_UNIT, hit[0]))))
+        if b < len(text) and (text[b] in " ,/-" or text[b].isalpha()):
+            hit = _NUMBER_FIRST.match(text, a)
+            if hit and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-")):
+                unit = _UNIT_BEFORE.search(text, max(0, a - 24), a)
+                start = unit.start() if unit else a
+                out.append((start, hit.end(), bool(unit)))
+                last = hit.end()
+                continue
+        begin = _lead(text, a) if b - a <= 4 else a
+        if begin < a:
+            hit = _NAME_FIRST.search(text[begin:a])
+            rest = _REST.match(text, a) if hit else None
+            if rest:
+                out.append((begin + hit.start(), rest.end(), bool(re.match(_UNIT, hit[0]))))
                 last = rest.end()
     return out
 
 
+def _lettered(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Matches of _ALNUM. Each holds four digits within ten characters, so only the surroundings of such are looked through."""
+    done = 0
+    for k, (a, b) in enumerate(runs):
+        if b <= done:
+            continue
+        n, j = b - a, k
+        while n < 4 and j + 1 < len(runs) and runs[j + 1][0] < a + 10:
+            j += 1
+            n += runs[j][1] - runs[j][0]
+        if n < 4:
+            continue
+        begin, end = max(done, a - 16), runs[j][1] + 16
+        while end < len(text) and (text[end].isalnum() or text[end] in "_-"):
+            end += 1
+        for m in _ALNUM.finditer(text, begin, end):
+            done = m.end()
+            yield m
+        done = max(done, runs[j][1])
+
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _COMPANY = frozenset(
     "group labs lab institute institut instituto foundation fondation stiftung systems networks robotics analytics biotech observatory gmbh ag kg inc ltd llc corp corporation company sa sl plc sas sarl "
@@ -122,7 +150,7 @@ _COMPANY = frozenset(
     "lecture scholarship fellowship grant fund street st lane ln road rd row avenue ave boulevard blvd drive close court way square park bridge hall tower library centre center theorem method filter filters fields "
     "index test algorithm model manual dataset effect law station airport stadium library river lake hill tour cup trophy chair building wing house product products".split()
 )
-_TITLES = frozenset("mr mrs ms miss dr prof professor sir madam mme mlle m monsieur madame docteur professeur herr frau dipl ing sr sra srta don doña señor señora dra".split())
+_TITLES = frozenset("mr mrs ms miss dr prof professor sir madam mme mlle m monsieur madame docteur professeur herr herrn frau dipl ing sr sra srta don doña señor señora dra".split())
 _ROLE_CUE = re.compile(
     r"(?:\bby|\bfrom|\bfrom:|contact:?|contact :|contacto:?|ansprechpartner(?:in)?:?|name(?: is)?:?|nom :?|titular:?|dossier :?|author(?: for correspondence)?:?|speaker \d ?\(|attention of|checked by|regards,|cordialement,|gr[üu](?:ß|ss)en,?|saludo,|geh[öo]rt zu|guest:|patient(?:in)?:?|signed|and|und|et|y|\"name\": \"|mr\.?|mrs\.?|ms\.?|dr\.?|prof\.?|mme|herr|frau|sr\.?|sra\.?|episode|told|says|said|dit|sagt|dice|recalls|writes|joined|thanks?)\s*$",
     re.I,
@@ -188,11 +216,17 @@ def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = N
     """Candidate names with features: chains of name words, and initials with a family name."""
     hits = []
     known, look = words.seen, words.look
-    for m in _TOKEN.finditer(text):
-        token = m[0]
+    for token in set(_TOKEN.findall(text)):
         w = known[token] if token in known else look(token)
         if w:
-            hits.append((m.start(), m.end(), token, w))
+            at = text.find(token)
+            while at >= 0:
+                end = at + len(token)
+                joined = at and (text[at - 1].isalpha() or (at > 1 and text[at - 1] in "'’-" and text[at - 2].isalpha()))
+                if not joined and _TOKEN.match(text, at).end() == end:
+                    hits.append((at, end, token, w))
+                at = text.find(token, end)
+    hits.sort()
     if emails:
         hits = [h for h in hits if not any(a <= h[0] < b for a, b in emails)]
     spans = []
@@ -238,6 +272,26 @@ def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = N
     return spans
 
 
+#: A name after a title, whatever its words.
+_TITLED = re.compile(
+    r"(?<![\w-])(?:Mrs?\.?|Ms\.?|Miss|Dr\.?|Prof\.?|Professor|Mme|Mlle|M\.|Madame|Monsieur|Herrn?|Frau|Sra?\.|Srta\.|Señora?|Doña|Don) ((?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?|[A-ZÀ-ÖØ-Þ]\.)(?: [A-ZÀ-ÖØ-Þ]\.)*(?: [A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?){1,2})(?![\w-])"
+)
+
+
+def titled_spans(text: str, taken: list[tuple[int, int, dict[str, float]]]) -> list[tuple[int, int, dict[str, float]]]:
+    """Candidate names after a title, of words that need not be known; those that meet a candidate in ``taken`` are left out."""
+    out = []
+    for m in _TITLED.finditer(text):
+        start, end = m.span(1)
+        parts = m[1].split()
+        words = [p for p in parts if not p.endswith(".")]
+        if any(p.lower() in _COMPANY for p in words) or parts[0].rstrip(".").lower() in _TITLES or any(a < end and start < b for a, b, _ in taken):
+            continue
+        initial = len(words) < len(parts)
+        out.append((start, end, {"n": len(words), "given": len(words) - 1, "family": 1, "initial": initial, "order": True, "guess": 2}))
+    return out
+
+
 _TAIL = re.compile(r",? (?:[A-ZÀ-Ý]\. ?){1,2}(?=\s|[,;:)<]|$)")
 _BEFORE = re.compile(r"(?<![\w.@/-])([^\W\d_][\w'’-]+)[  ]+((?:[A-ZÀ-Ý]\. ?){0,2})$")
 _AFTER = re.compile(r"^(,?)[  ]+((?:[A-ZÀ-Ý]\. ?){0,2})([A-ZÀ-Ý][\w'’-]+)")
@@ -299,31 +353,32 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
     """Overlapping candidates (kind, start, end, features)."""
     out: list[tuple[str, int, int, dict[str, float]]] = []
     emails: list[tuple[int, int]] = []
-    low = text.lower()
     for mark in _AT_MARK.finditer(text):
         if emails and emails[-1][1] > mark.start():
             continue
-        begin = max(0, mark.start() - 80)
-        while begin and text[begin - 1] not in " \n\t;,:<(\"'" and mark.start() - begin < 400:
+        begin = mark.start()
+        while begin and text[begin - 1].isspace():
             begin -= 1
-        for m in _EMAIL.finditer(text, begin, min(len(text), mark.end() + 200)):
-            if m.end() <= mark.start():
-                continue
-            if m.start() > mark.start():
-                break
+        stop = begin
+        while begin and text[begin - 1] in _LOCAL:
+            begin -= 1
+        while begin < stop and not text[begin].isalnum():
+            begin += 1
+        m = _EMAIL.match(text, begin) if begin < stop else None
+        if m and m.end() > mark.start():
             s = m[0]
             plain = "@" in s
             domain = re.split(_AT, s, maxsplit=1)[-1]
             out.append(("email", m.start(), m.end(), {"at_sign": plain, "file_end": bool(_FILE_END.search(s)), "domain_parts": len(re.split(_DOT, domain)), "digits": sum(c.isdigit() for c in domain)}))
             emails.append(m.span())
-            break
-    for p, lettered in ((_NUMBER, False), (_ALNUM, True)):
-        for m in p.finditer(text):
+    runs = [m.span() for m in _INTEGER.finditer(text)]
+    for matches, lettered in ((_NUMBER.finditer(text) if runs else (), False), (_lettered(text, runs), True)):
+        for m in matches:
             s = m[0]
             if len(s) < 6:
                 continue
             digits = sum(c.isdigit() for c in s)
-            if digits < (5 if lettered else 7) or digits > 18 or len(s) > 26:
+            if digits < (5 if lettered else 7):
                 continue
             before, after = text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 40]
             if "\n" in before:
@@ -340,7 +395,7 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
                 out.append(("phone", m.start(), m.end(), base | {"cue": phone_cue, "after_cue": phone_after, "other_cue": id_cue or id_after}))
             out.append(("id_number", m.start(), m.end(), base | {"cue": id_cue, "after_cue": id_after, "other_cue": phone_cue or phone_after}))
     places: list[tuple[int, int]] = []
-    for start, end, unit in address_spans(text):
+    for start, end, unit in address_spans(text, runs):
         s = text[start:end]
         before, after = text[max(0, start - 40) : start], text[end : end + 24]
         nxt = _TOKEN.match(after.lstrip(" ")) if after[:1] == " " else None
@@ -351,7 +406,8 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
             "not_cue": bool(re.search(r"(?:\bin|\bof|\bde|between|from|on|\bauf|von|sur)\s+$", before)) and not s[:1].isalpha(), "case": _case(re.sub(_STREET, "", s)),
         }))
         places.append((start, end))
-    for start, end, f in name_spans(text, words, emails):
+    names = name_spans(text, words, emails)
+    for start, end, f in names + titled_spans(text, names):
         if f["n"] < 2 and not f["initial"]:
             continue
         before, after = text[max(0, start - 30) : start], text[end : end + 24]
@@ -374,17 +430,35 @@ def vector(kind: str, f: dict[str, float]) -> list[float]:
 
 
 class Trees:
-    """Boosted regression trees; a node is [feature, threshold, left, right], a leaf a number."""
+    """Boosted regression trees; a node is [feature, threshold, left, right], a leaf a number. All rows go down a tree at once."""
 
     def __init__(self, base: float, trees: list, thresholds: dict[str, float]):
-        self.base, self.trees, self.thresholds = base, trees, thresholds
-
-    def score(self, x: list[float]) -> float:
-        total = self.base
-        for node in self.trees:
-            while isinstance(node, list):
-                node = node[2] if x[node[0]] <= node[1] else node[3]
-            total += node
+        self.base, self.thresholds = base, thresholds
+        nodes: list[tuple[int, float, int, int, float]] = []
+
+        def add(node) -> int:
+            at = len(nodes)
+            nodes.append((0, 0.0, at, at, float(node) if not isinstance(node, list) else 0.0))
+            if isinstance(node, list):
+                nodes[at] = (node[0], node[1], add(node[2]), add(node[3]), 0.0)
+            return at
+
+        def depth(node) -> int:
+            return 1 + max(depth(node[2]), depth(node[3])) if isinstance(node, list) else 0
+
+        self.roots = [(add(t), depth(t)) for t in trees]
+        feature, threshold, left, right, value = zip(*nodes) if nodes else ((),) * 5
+        self.feature, self.left, self.right = (np.array(x, np.int64) for x in (feature, left, right))
+        self.threshold, self.value = np.array(threshold, np.float64), np.array(value, np.float64)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), self.base)
+        rows = np.arange(len(x))
+        for root, depth in self.roots:
+            at = np.full(len(x), root)
+            for _ in range(depth):
+                at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            total += self.value[at]
         return total
 
 
@@ -394,29 +468,37 @@ def model() -> Trees:
     return Trees(read["base"], read["trees"], read["thresholds"])
 
 
-def find_personal(text: str | None, words: Words, trees: Trees | None = None) -> list[tuple[str, int, int]]:
-    """Selected spans (kind, start, end) in order, without overlap; the best-scored of overlapping ones is kept."""
-    if not text:
-        return []
+def find_all(texts: list[str | None], words: Words, trees: Trees | None = None) -> list[list[tuple[str, int, int]]]:
+    """Selected spans (kind, start, end) of each text in order, without overlap; the best-scored of overlapping ones is kept."""
     trees = trees or model()
-    scored = []
-    for kind, a, b, f in candidates(text, words):
-        s = trees.score(vector(kind, f))
-        if s >= trees.thresholds[kind]:
-            scored.append((s - trees.thresholds[kind], -(b - a), a, b, kind))
-    taken: list[tuple[int, int, str]] = []
-    for _, _, a, b, kind in sorted(scored, key=lambda t: (-t[0], t[1], t[2])):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return [(kind, a, b) for a, b, kind in sorted(taken)]
-
-
-def redact(text: str | None, words: Words, trees: Trees | None = None) -> str | None:
+    proposed = [candidates(x, words) if x else [] for x in texts]
+    rows = [vector(kind, f) for own in proposed for kind, _, _, f in own]
+    scores = iter(trees.scores(np.array(rows)).tolist() if rows else [])
+    out = []
+    for own in proposed:
+        scored = []
+        for kind, a, b, _ in own:
+            s = next(scores) - trees.thresholds[kind]
+            if s >= 0:
+                scored.append((s, -(b - a), a, b, kind))
+        taken: list[tuple[int, int, str]] = []
+        for _, _, a, b, kind in sorted(scored, key=lambda t: (-t[0], t[1], t[2])):
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, kind))
+        out.append([(kind, a, b) for a, b, kind in sorted(taken)])
+    return out
+
+
+def find_personal(text: str | None, words: Words, trees: Trees | None = None) -> list[tuple[str, int, int]]:
+    return find_all([text], words, trees)[0]
+
+
+def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     """The text with each span replaced by a placeholder of its kind, like [EMAIL]."""
     if text is None:
         return None
     out, at = [], 0
-    for kind, a, b in find_personal(text, words, trees):
+    for kind, a, b in spans:
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join([*out, text[at:]])
@@ -444,7 +526,7 @@ def personal_spans(docs: DataFrame, names: DataFrame, doc: str = "doc_id", text:
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words(rows)
         for batch in batches:
-            yield pd.Series([[{"kind": k, "start_pos": a, "end_pos": b} for k, a, b in find_personal(x, words)] for x in batch])
+            yield pd.Series([[{"kind": k, "start_pos": a, "end_pos": b} for k, a, b in spans] for spans in find_all(batch.tolist(), words)])
 
     return docs.select(F.col(doc), F.inline(spans(F.col(text))))
 
@@ -457,6 +539,7 @@ def without_personal(docs: DataFrame, names: DataFrame, text: str = "text") -> D
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words(rows)
         for batch in batches:
-            yield pd.Series([redact(x, words) for x in batch])
+            texts = batch.tolist()
+            yield pd.Series(list(map(redact, texts, find_all(texts, words))), dtype=object)
 
     return docs.withColumn(text, clean(F.col(text)))

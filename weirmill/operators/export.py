@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weirmill.operators.records import numbered_within
 from weirmill.operators.skew import lookup_join
 
 
@@ -25,8 +25,7 @@ def write_csv(items: DataFrame, path: str) -> None:
 def markdown(websets: DataFrame, items: DataFrame) -> DataFrame:
     """(webset_id, part, section): an item's section, numbered from 1, newest first; part 0 for a webset without items."""
     own = items.select(F.col("webset_id"), "row_no", "title", "url", "created_at")
-    number = F.row_number().over(Window.partitionBy("webset_id").orderBy(F.desc_nulls_last("created_at"), "row_no"))
-    numbered = own.filter("webset_id is not null").withColumn("part", number)
+    numbered = numbered_within(own.filter("webset_id is not null"), "webset_id", [F.desc_nulls_last("created_at"), F.asc("row_no")], "part")
     kept = lookup_join(numbered, websets.select(F.col("id").alias("webset_id"), F.lit(True).alias("known")), ["webset_id"]).filter("known")
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))
     sections = kept.select("webset_id", "part", F.concat(F.lit("## "), "part", F.lit(". "), title, F.lit("\nURL: "), F.coalesce("url", F.lit(""))).alias("section"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weirmill.functions.text import words
+from weirmill.functions.text import strip, words
 from weirmill.operators.relational import content_digest
 from weirmill.operators.textops import content_sha
 from weirmill.session import stored
@@ -86,6 +86,24 @@ def in_batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return numbered(df, order, "__no").withColumn("batch", F.expr(f"__no div {size}")).drop("__no")
 
 
+def numbered_within(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with each row's number from 1 within its key, in the given order: a key of any size is spread over ranges of it."""
+    ranges = stored(df.repartitionByRange(F.col(key), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    shift = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__range")) - F.col("__n")).drop("__n")  # rows of a key: one a range
+    inside = F.row_number().over(Window.partitionBy("__range", key).orderBy(*order))
+    return ranges.withColumn("__inside", inside).join(shift, [key, "__range"]).withColumn(name, (F.col("__before") + F.col("__inside")).cast("int")).drop("__range", "__inside", "__before")
+
+
+def context(text: Column, part: Column, chars: int) -> Column:
+    """What stands up to ``chars`` characters before and after the first place of a part, without outer white space; null if nothing."""
+    at = F.position(part, text)
+    begin = F.greatest(F.lit(1), at - chars)
+    none = F.lit("")
+    before, after = F.substring(text, begin, at - begin), F.substring(text, at + F.length(part), F.lit(chars))
+    return F.when(at > 0, F.struct(F.nullif(strip(before), none).alias("before"), F.nullif(strip(after), none).alias("after")))
+
+
 # crawls
 
 

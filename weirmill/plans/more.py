@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.operators import graph, hybrid, monitor, records as K, relational as R, rerank, vector
+from weirmill.operators import enrich, graph, hybrid, monitor, records as K, relational as R, rerank, vector
 from weirmill.operators.textops import content_sha
-from weirmill.plans import relational as RP, search as SP
+from weirmill.functions.text import WHITE
+from weirmill.plans import pages as PP, relational as RP, search as SP
 from weirmill.session import stored
+from weirmill.sources import html
 from weirmill.tables import table
 
 NOW = "2024-12-31 00:00:00"
@@ -232,8 +234,49 @@ def rrk_recent(s: SparkSession, d: str) -> DataFrame:
     return rerank.by_score(scored.withColumn("combined", F.round("combined", 6)), "query_key", "combined", "ord", 10).select("query_key", "key", "combined", "rank")
 
 
+def enr_company_all(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.inline(F.array(enrich.company(F.col("text")))))
+
+
+def enr_person_all(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.inline(F.array(enrich.person(F.col("text")))))
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "fetch_results").filter("html is not null").select("fetch_no", "url", html.parse_page("html", "url").alias("p"))
+
+
+def met_meta(s: SparkSession, d: str) -> DataFrame:
+    """Card, Dublin Core and linked-data values of each page, its canonical address and its feeds."""
+    p = F.col("p")
+    return _parsed(s, d).select("fetch_no", "p.canonical", "p.author", "p.published", F.to_json(p["twitter"]).alias("twitter"), F.to_json(p["dublin_core"]).alias("dublin_core"), F.size(p["json_ld"]).alias("n_objects"), F.array_join(p["feeds"], " ").alias("feeds"), F.array_join(p["keywords"], ",").alias("keywords"))
+
+
+def prs_images(s: SparkSession, d: str) -> DataFrame:
+    return _parsed(s, d).select("fetch_no", F.posexplode("p.images").alias("pos", "i")).select("fetch_no", "pos", "i.src", "i.alt", "i.caption")
+
+
+def cit_quotes(s: SparkSession, d: str) -> DataFrame:
+    return _parsed(s, d).select("fetch_no", F.explode("p.citations").alias("c")).filter("c.kind = 'quote'").select("fetch_no", "c.id", "c.author")
+
+
+def cit_context(s: SparkSession, d: str) -> DataFrame:
+    """100 characters around the first number in a text."""
+    rows = table(s, d, "documents").withColumn("mark", F.regexp_extract("text", "[0-9]+", 0)).filter("mark <> ''")
+    return rows.select("doc_id", K.context(F.col("text"), F.col("mark"), 100).alias("c")).select("doc_id", "c.before", "c.after")
+
+
+def pod_episodes(s: SparkSession, d: str) -> DataFrame:
+    """Feeds written from the parsed pages and read back."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    item = F.concat(F.lit("<item><title>"), F.coalesce(plain("title"), F.lit("")), F.lit("</title><link>"), F.coalesce(plain("url"), F.lit("")), F.lit("</link><itunes:duration>1:02:03</itunes:duration></item>"))
+    xml = F.concat(F.lit('<rss xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>Show</title>'), item, F.lit("</channel></rss>"))
+    rows = table(s, d, "parsed_content").select("parsed_no", html.parse_feed(xml).alias("e"))
+    return rows.select("parsed_no", F.inline("e")).select("parsed_no", "show", "title", "link", "seconds")
+
+
 _FUNCTIONS = (
-    vec_embed, vec_cache, vec_zero, vec_log, prj_vectors, hyb_search, hyb_stats, qry_temporal, qry_fetch, flt_first, join_feedback, agg_workers, agg_tokens, agg_graph, srt_trend, srt_pages,
+    enr_company_all, enr_person_all, met_meta, prs_images, cit_quotes, cit_context, pod_episodes, vec_embed, vec_cache, vec_zero, vec_log, prj_vectors, hyb_search, hyb_stats, qry_temporal, qry_fetch, flt_first, join_feedback, agg_workers, agg_tokens, agg_graph, srt_trend, srt_pages,
     snk_update, snk_runs, snk_collections, snk_cascade_all, exp_graph, grf_nodes, grf_mentions, chk_sliding, chk_sliding_sentences, dup_known, dup_greedy, prs_dates, pod_dates, mon_enabled, mon_check,
     mon_next, mon_hybrid, que_batches, llm_schema, rtl_proxy, rtl_adjust, rrk_recent,
 )
@@ -242,7 +285,29 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _HASHED = RP._HASHED
 _ISO = RP._ISO
 _HOST = "lower(regexp_extract(url, '^[^:]+://([^/]+)', 1))"
+
+
+def _sql_first(patterns, group: int = 1, flags: str = "i") -> str:
+    return "coalesce(" + ", ".join("nullif(regexp_extract(text, '" + p.replace("'", "''") + f"', {group}, '{flags}'), '')" for p in patterns) + ")"
+
+
+def _sql_money(patterns) -> str:
+    return f"'$' || {_sql_first(patterns)} || upper(left({_sql_first(patterns, 2)}, 1))"
+
+
+_TRIM = f"trim({{}}, {'||'.join(f'chr({ord(c)})' for c in WHITE)})".format
+_COMPANY = {"ceo": _sql_first(enrich.CEO), "revenue": _sql_money(enrich.REVENUE), "employees": f"replace({_sql_first(enrich.EMPLOYEES)}, ',', '')", "founded": _sql_first(enrich.FOUNDED), "headquarters": _sql_first(enrich.HEADQUARTERS, flags="c"), "industry": PP._INDUSTRY, "market_cap": _sql_money(enrich.MARKET_CAP), "profit": _sql_money(enrich.PROFIT), "growth_rate": _sql_first(enrich.GROWTH)}
+_PERSON = {"name": _sql_first(enrich.NAME, flags="c"), "company": _TRIM(_sql_first(enrich.WORKPLACE, flags="c")), "location": _sql_first(enrich.LOCATION, flags="c"), "education": _TRIM(_sql_first(enrich.EDUCATION, flags="c")), "email": _sql_first((enrich.EMAIL,), flags="c"), "phone": _sql_first(enrich.PHONE, flags="c"), "years": _sql_first(enrich.YEARS), "skills": PP._SKILLS}
 ORACLE = {
+    "enr_company_all": "select doc_id, " + ", ".join(f"{v} as {k}" for k, v in _COMPANY.items()) + " from documents",
+    "enr_person_all": "select doc_id, " + ", ".join(f"{v} as {k}" for k, v in _PERSON.items()) + " from documents",
+    "cit_context": f"""with m as (select doc_id, text, regexp_extract(text, '[0-9]+') as mark, strpos(text, regexp_extract(text, '[0-9]+')) as p0 from documents)
+        select doc_id, nullif({_TRIM("substr(text, greatest(1, p0 - 100), p0 - greatest(1, p0 - 100))")}, '') as before, nullif({_TRIM("substr(text, p0 + length(mark), 100)")}, '') as after from m where mark <> ''""",
+    "pod_episodes": f"select parsed_no, 'Show' as show, {_TRIM('title')} as title, coalesce(url, '') as link, 3723 as seconds from parsed_content where {_TRIM('title')} <> ''",
+    "mon_hybrid": f"""with k as (select * from {_HASHED} where batch_no < 12), n as (select *, row_number() over (partition by hash order by row_no) as r from {_HASHED} where batch_no = 12),
+        a as (select case when hash is not null and (hash in (select hash from k where hash is not null) or r > 1) then 'skip_hash' when url in (select url from k where url is not null) then 'skip_url' else 'add' end as action from n),
+        o as (select url, arg_max(coalesce(hash, '-'), row_no) as hash from k where url is not null group by 1), c as (select url, arg_max(coalesce(hash, '-'), row_no) as hash from n where url is not null group by 1)
+        select action, count(*) as n from a group by 1 union all select case when o.hash = c.hash then 'unchanged' else 'updated' end, count(*) from o join c using (url) group by 1""",
     "vec_cache": """select d.doc_id, coalesce(d.text is not null and sha256(d.text) in (select sha256(text) from documents where doc_id % 2 = 0 and text is not null and collected_at >= timestamptz '2024-05-31 00:00:00+00'), false) as hit from documents d""",
     "vec_zero": "select d.doc_id, case when e.embedding is null or list_dot_product(e.embedding, e.embedding) = 0 then 0.0 else 1.0 end as score from documents d left join embeddings e on e.vec_id = d.doc_id",
     "vec_log": "select event_type, count(*) as n_events from events group by 1",

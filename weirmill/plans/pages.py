@@ -135,10 +135,10 @@ def rtl_bucket(s: SparkSession, d: str) -> DataFrame:
 def ext_windows(s: SparkSession, d: str) -> DataFrame:
     """Daily windows of the event stream, run to its end; the same as the batch."""
     path = scratch_path(s, "windows")
-    name = path.rsplit("/", 1)[-1].replace("-", "_")
-    out = windows.windowed_counts(windows.event_stream(s, d)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", path)
-    out.trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+    counts = windows.windowed_counts(windows.event_stream(s, d)).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/marks")
+    # each trigger's whole result replaces the one before, as a table in the shared folder
+    counts.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/result")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/result").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
 _FUNCTIONS = (

@@ -248,6 +248,10 @@ ORACLE = {
         h as (select s as start, t as node, 1 as depth from e where s % 20 = 0 union all select x.s, y.t, 2 from e x join e y on y.s = x.t where x.s % 20 = 0 and y.t <> x.s) select start, node, min(depth) as depth from h group by 1, 2""",
     "grf_lineage": """with recursive r(start, depth, node, found, up) as (select id, 0, id, true, parent_id from ruvector_docs where id is not null
         union all select r.start, r.depth + 1, r.up, d.id is not null, d.parent_id from r left join ruvector_docs d on d.id = r.up where r.up is not null and r.depth < 64) select start, depth, node, found from r""",
+    "qry_synonyms": """select query_id, cast(i - 1 as int) as pos, forms[i] as form from (select query_id, forms, unnest(range(1, len(forms) + 1)) as i from (select id as query_id, list_filter([search_query,
+        case when contains(lower(search_query), 'robots') then replace(lower(search_query), 'robots', 'machines') end, case when contains(lower(search_query), 'robots') then replace(lower(search_query), 'robots', 'automata') end,
+        case when contains(lower(search_query), 'papers') then replace(lower(search_query), 'papers', 'articles') end], lambda x: x is not null) as forms from websets where search_query is not null))""",
+    "rrk_custom": f"with {_BM} select query_key, key, rank from (select query_key, key, row_number() over (partition by query_key order by round(score / ln(2.0 + length(text)), 6) desc, top.rank) as rank from top join documents on doc_id = key) where rank <= 10",
     "qry_suggestions": "select id as query_id, cast(i as int) as pos, search_query || (['company', 'person', 'technology'])[i + 1] as form from (select id, search_query, unnest([0, 1, 2]) as i from websets where length(search_query) >= 2)".replace("['company', 'person', 'technology']", "[' company', ' person', ' technology']"),
     "qry_entity": """select id, array_to_string(list_filter([nullif(lower(entity_type), ''), 'in Berlin', nullif(array_to_string(from_json(json_extract(search_criteria, '$.keywords'), '["VARCHAR"]'), ' '), '')], lambda x: x is not null), ' ') as query from websets""",
 }

@@ -116,6 +116,7 @@ _NORMAL = _strip(_chain(f"lower(regexp_replace(text, '{_W}+', ' ', 'g'))", X.FOO
 ORACLE = {
     "txt_no_urls": _digest(_chain("text", (r"https?://\S+", r"www\.\S+"), "g")),
     "txt_boilerplate": _digest(_chain("text", X.BOILERPLATE, "gi")),
+    "txt_marks": _digest("replace(translate(regexp_replace(text, '[\\x{200b}-\\x{200d}\\x{feff}]', '', 'g'), '“”‘’–—―', '\"\"' || chr(39) || chr(39) || '---'), '…', '...')"),
     "txt_flat": _digest(f"regexp_replace(text, '{_W}+', ' ', 'g')"),
     "txt_repeated_lines": _digest("array_to_string(list_transform(list_filter(range(1, len(str_split(text, chr(10))) + 1), lambda i: i = 1 or str_split(text, chr(10))[i - 1] = '' or lower(str_split(text, chr(10))[i]) <> lower(str_split(text, chr(10))[i - 1])), lambda i: str_split(text, chr(10))[i]), chr(10))"),
     "txt_stats": f"""select doc_id, cast(n as int) as n_words, cast(greatest(1, floor(n / 200.0)) as int) as minutes, case when length(text) > 200 then left(text, 200) || '...' else text end as excerpt

@@ -45,6 +45,20 @@ def test_survivors(spark):
     assert set(pages) == {1, 4} and pages[1].n_rows == 3 and pages[1].last_crawled_at == day(3)
 
 
+def test_survivors_rank_by_completeness_trust_and_time(spark):
+    import hashlib
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    sha = hashlib.sha256(b"text two").hexdigest().upper()
+    df = items(
+        spark, {"url": "a.b/x", "title": "Short", "content": "text one", "last_crawled_at": day(9)}, {"url": "a.b/x", "title": "The longest", "content": "text two", "content_hash": f" {sha}", "last_crawled_at": day(1)},
+        {"url": "a.b/x/", "title": "The longest", "content": "text six", "last_crawled_at": day(5)}, {"url": "a.b/x", "title": " ", "content": None}, {"url": "a.b/y", "title": None, "content": " "},
+        {"url": "a.b/z", "title": "Same", "content": "one", "last_crawled_at": day(1)}, {"url": "a.b/z", "title": "same", "content": "two", "last_crawled_at": day(2)}, {"url": "a.b/z", "title": "SAME", "content": "six", "last_crawled_at": day(2)},
+    )
+    pages = {r.first_no: (r.title, r.content_no, r.n_rows) for r in survivors.merged_pages(df).collect()}
+    assert pages == {1: ("The longest", 2, 4), 5: (None, None, 1), 6: ("same", 7, 3)}
+
+
 # p2
 
 
@@ -357,6 +371,8 @@ def test_mix_tempers(spark):
     got = {r.source: (r.drawn_tokens, r.target_share) for r in report.collect()}
     assert got["a"][0] == pytest.approx(2000, abs=20) and got["b"][0] == pytest.approx(6000, abs=20) and got["a"][1] == 0.5
     assert draws.groupBy("doc").count().agg(F.max("count")).first()[0] <= 2 and "p9_tempered" in QUERIES
+    # every source within one document of its budget, and so of its weight
+    assert all(abs(r.drawn_tokens - r.budget) <= 10 and r.reached_share == pytest.approx(r.weight, abs=0.01) for r in report.filter("budget > 0").collect())
 
 
 # p10

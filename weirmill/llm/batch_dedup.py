@@ -26,6 +26,8 @@ from weirmill.operators.components import linked_classes
 from weirmill.operators.skew import MAX_HOT, lookup_join
 from weirmill.session import scratch_path, stored
 
+#: Rows of a bucket of a fresh history, as long as the session's shuffle partitions are enough.
+BUCKET_ROWS = 20_000
 #: Share of the longer text's words that must agree in order.
 NEAR = 0.9
 #: Rows of one paragraph join that are held at once; a longer group is worked off in parts.
@@ -366,8 +368,9 @@ def batch_repeats(marks: DataFrame) -> DataFrame:
     Null urls, contents and hashes link nothing; repeated rows of one batch are no case by themselves. Extra columns are ignored.
     """
     spark = marks.sparkSession
-    least, newest = marks.agg(F.min("batch_no"), F.max("batch_no")).first()
-    history = History(spark, scratch_path(spark, "history"))
+    least, newest, n = marks.agg(F.min("batch_no"), F.max("batch_no"), F.count(F.lit(1))).first()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    history = History(spark, scratch_path(spark, "history"), max(8, min(most, n // BUCKET_ROWS)))
     parts = [marks] if least == newest else [marks.filter(F.col("batch_no") < newest), marks.filter(F.col("batch_no") == newest)]
     found = [history.check_and_append(p) for p in parts]
     history.close()

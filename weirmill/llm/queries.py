@@ -99,11 +99,19 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of as many tokens as there are: the exponent is bisected against the sources' repeats."""
+def _tempered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A mix of as many tokens as there are: the exponent is bisected against the sources' repeats."""
     docs = table(spark, sf_dir, "documents")
     total = docs.filter("source is not null").agg(F.sum(_tokens())).first()[0]
-    return mixing.mix(docs, table(spark, sf_dir, "source_targets"), "doc_id", "source", _tokens(), int(total or 0))[0]
+    return mixing.mix(docs, table(spark, sf_dir, "source_targets"), "doc_id", "source", _tokens(), int(total or 0))
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tempered(spark, sf_dir)[0]
+
+
+def p9_tempered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tempered(spark, sf_dir)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new, p8_packed, p8_report, p9_draws, p9_report, p9_tempered, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p6_kept, p7_found, p7_new, p8_packed, p8_report, p9_draws, p9_report, p9_tempered, p9_tempered_report, p10_found, p10_redacted)}
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(8201)||chr(8239)||chr(12288)"
 

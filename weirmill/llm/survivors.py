@@ -113,17 +113,31 @@ def page_key(url: Column) -> Column:
     return F.unhex(F.md5(canonical_url(url)))
 
 
-def page_survivors(items: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def text_fields() -> list[Field]:
+    """The title and the content of a page: the longest counts as most complete; a row is trusted if its content_hash is that of its
+    content, raw or without outer white space; then the latest crawl. The content's value is only its hash, as texts are not shuffled."""
+    content = F.when(strip(F.col("content")) != "", F.col("content"))
+    stated = F.lower(strip(F.col("content_hash")))
+    trust = F.when((stated == F.sha2(content, 256)) | (stated == F.sha2(strip(content), 256)), 1.0).otherwise(0.0)
+    title = F.when(strip(F.col("title")) != "", F.col("title"))
+    crawled = crawl_time(F.col("last_crawled_at"))
+    return [
+        Field("title", title, time=crawled, complete=F.length(strip(title)), trust=trust),
+        Field("content", F.sha2(content, 256), time=crawled, complete=F.length(strip(content)), trust=trust),
+    ]
+
+
+def page_survivors(items: DataFrame, least: int = 2, more: list[Field] | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups of rows of one page, and the row that holds each field's best value.
 
-    Fields: ``last_crawled_at`` and each plugin of ``enrichments``. Null urls form no group; null, hollow, failed and broken
+    Fields: ``last_crawled_at``, each plugin of ``enrichments``, and those in ``more``. Null urls form no group; null, hollow, failed and broken
     enrichments and placeholder dates are not usable; a plugin time that can't be read loses to any that can; equal times go
     to the smallest row_no. Extra columns are ignored.
     """
     items = items.filter(strip(F.col("url")) != "")
     crawled = crawl_time(F.col("last_crawled_at"))
     cand = field_candidates(
-        items, page_key(F.col("url")), "row_no", [Field("last_crawled_at", crawled, time=crawled)], more=plugin_candidates(F.col("enrichments"))
+        items, page_key(F.col("url")), "row_no", [Field("last_crawled_at", crawled, time=crawled), *(more or [])], more=plugin_candidates(F.col("enrichments"))
     )
     return groups(items, page_key(F.col("url")), "row_no", least), best_values(cand)
 
@@ -136,20 +150,22 @@ def survivor_fields(items: DataFrame) -> DataFrame:
 
 
 def merged_pages(items: DataFrame) -> DataFrame:
-    """One row for each page: its first row's url, webset and title, and the best last_crawled_at and plugin values.
+    """One row for each page: its first row's id, url and webset, the best title, last_crawled_at and plugin values, and content_no, the
+    row with the best content.
 
-    ``enrichments`` becomes a JSON object of plugin -> {data, row_no} in order of the plugins' names.
+    ``enrichments`` becomes a JSON array of the plugins' {name, row_no, data} in order of their names. Titles and contents are chosen
+    by completeness, trust and recency (text_fields); null where no row has any.
     """
-    group, best = page_survivors(items, least=1)
+    group, best = page_survivors(items, least=1, more=text_fields())
+    own = ("last_crawled_at", "title", "content")
+    one = lambda name, value: F.max(F.when(F.col("name") == name, F.col(value)))
     fields = best.groupBy("key").agg(
-        F.max(F.when(F.col("name") == "last_crawled_at", F.col("time"))).alias("last_crawled_at"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("name") != "last_crawled_at", F.struct("name", F.col("rec").alias("row_no"), F.col("value").alias("data"))))
-        ).alias("plugins"),
+        one("last_crawled_at", "time").alias("last_crawled_at"), one("title", "value").alias("title"), one("content", "rec").alias("content_no"),
+        F.array_sort(F.collect_list(F.when(~F.col("name").isin(*own), F.struct("name", F.col("rec").alias("row_no"), F.col("value").alias("data"))))).alias("plugins"),
     )
-    first = items.select(F.col("row_no").alias("first_no"), "id", "webset_id", "url", "title")
+    first = items.select(F.col("row_no").alias("first_no"), "id", "webset_id", "url")
     return (
         group.join(fields, "key", "left")
         .join(first, "first_no")
-        .select("first_no", "id", "webset_id", "url", "title", "n_rows", "last_crawled_at", F.to_json("plugins").alias("enrichments"))
+        .select("first_no", "id", "webset_id", "url", "title", "content_no", "n_rows", "last_crawled_at", F.to_json("plugins").alias("enrichments"))
     )

@@ -55,8 +55,10 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def latest_rows(current: DataFrame, changes: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Upsert: of old and new rows with one key the one that comes last (``order`` puts the winner first)."""
-    return keep_first(current.unionByName(changes), [key], order)
+    """Upsert: of old and new rows with one key the one that comes last (``order`` puts the winner first); rows without a key replace
+    none and are all kept."""
+    rows = current.unionByName(changes)
+    return keep_first(rows.filter(F.col(key).isNotNull()), [key], order).unionByName(rows.filter(F.col(key).isNull()))
 
 
 def without_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:

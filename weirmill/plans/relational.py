@@ -257,7 +257,7 @@ ORACLE = {
         union all select * from (select {_ISO('started_at')}, 'monitor_run', cast(run_no as varchar), coalesce(status, '') from monitor_runs where started_at is not null order by 1 desc, 2, 3 limit 20)
         union all select * from (select {_ISO('created_at')}, 'item_added', cast(row_no as varchar), coalesce(url, '') from webset_items where created_at is not null order by 1 desc, 2, 3 limit 20)) order by 1 desc, 2, 3 limit 60""",
     "set_difference": f"select distinct hash from {_HASHED} where batch_no = 12 and hash is not null except select hash from {_HASHED} where batch_no < 12",
-    "snk_upsert": "select id, max(row_no) as row_no from webset_items group by id",
+    "snk_upsert": "select id, max(row_no) as row_no from webset_items where id is not null group by id union all select id, row_no from webset_items where id is null",
     "snk_cascade": "select webset_id, count(*) as n_items from webset_items where webset_id is null or webset_id not in (select id from websets where lower(entity_type) = 'company') group by 1",
     "snk_patch": "select id, case when status = 'error' then 'enabled' else status end as status, case when status = 'error' then null else timezone end as timezone from monitors",
     "snk_job_state": "select id, max_by(status, run_no) as status, count(*) as n_events from monitor_runs group by id",

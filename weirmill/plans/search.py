@@ -234,7 +234,7 @@ ORACLE = {
     "hyb_rrf": f"""with {_BM}, len as (select * from (select bm.query_key, bm.key, row_number() over (partition by query_key order by n_chars desc, key) as rank from bm join documents on doc_id = bm.key where n_chars > 0) where rank <= 20),
         f as (select query_key, key, round(sum(0.5 / (60 + rank)), 9) as score from (select query_key, key, rank from top union all select query_key, key, rank from len) group by 1, 2)
         select * from (select *, row_number() over (partition by query_key order by score desc, key) as rank from f) where rank <= 10""",
-    "hyb_multiquery": f"with {_BM} select key, round(sum(score) / (select count(*) from websets where search_query is not null), 6) as score from top group by 1",
+    "hyb_multiquery": f"with {_BM} select key, round(cast(sum(cast(score as decimal(26,12))) as double) / (select count(*) from websets where search_query is not null), 6) as score from top group by 1",
     "rrk_recency": f"select doc_id, round(coalesce(exp(-{_AGE} / 30.0), 0), 9) as recency from documents",
     "rrk_hybrid": f"""with {_BM}, r as (select query_key, key, rank as o, score, coalesce(exp(-{_AGE} / 365.0), 0) as rec from top join documents on doc_id = key),
         c as (select query_key, key, o, round(0.7 * (score - min(score) over w) / case when max(score) over w = min(score) over w then 1.0 else max(score) over w - min(score) over w end + 0.3 * rec, 6) as combined from r window w as (partition by query_key))

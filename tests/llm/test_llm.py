@@ -472,3 +472,49 @@ def test_plan_is_bounded_at_large_capacities():
     assert len(runs) < 3 * len(counts) and sum(room.values()) == 3 * sum(counts) and max(room.values()) <= 8192
     index = packing.SumIndex({2: 1, 3: 1, 5: 1, 7: 1}, 20)
     assert index.two(8, 7) in ((5, 3),) and index.three(10, 7) and sum(index.three(10, 7)) == 10 and index.two(4, 7) is None
+
+
+def test_near_texts_share_a_rare_word():
+    import pyarrow as pa
+
+    random.seed(31)
+    common = [random.randrange(60) for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        t = random.choice(texts)[:] if texts and random.random() < 0.7 else [random.choice(common) if random.random() < 0.8 else random.randrange(4000) for _ in range(random.randint(1, 130))]
+        for _ in range(random.randint(0, len(t) // 9)):
+            at = random.randrange(len(t) + 1)
+            t[at : at + random.randint(0, 1)] = [random.choice(common)] * random.randint(0, 1)
+        texts.append(t or [1])
+    held = [np.array(t, np.uint16).tobytes() for t in texts]
+    counts = next(batch_dedup._counted(iter([pa.record_batch({"words": pa.array(held[:60])})])))
+    n = np.zeros(batch_dedup.TOKENS, np.int64)
+    n[counts["key"].to_numpy()] = counts["n"].to_numpy()
+    place = np.empty(batch_dedup.TOKENS, np.int64)
+    place[np.argsort(n, kind="stable")] = np.arange(batch_dedup.TOKENS)
+    own = collections.defaultdict(dict)
+    for text, key, at in zip(*batch_dedup.rarest(pa.array(held), place)):
+        own[text][key] = at
+    near = [(i, j) for j in range(120) for i in range(120) if i != j and len(texts[i]) <= len(texts[j]) and batch_dedup.nearly_same(held[i], held[j])]
+    assert len(near) > 50
+    for i, j in near:
+        assert any(len(texts[i]) - at >= 0.9 * len(texts[j]) - 1e-6 for key, at in own[i].items() if key in own[j])
+    # stretches of a wide group hold the same pairs as single rows
+    order = sorted(range(120), key=lambda i: len(texts[i]))
+    args = np.ones(120, np.int64), np.array([len(texts[i]) for i in order], np.int64), pa.array([hashing.parities(np.array(texts[i], np.uint16)) for i in order], pa.binary())
+    pairs = []
+    for wide in (1, 1000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(batch_dedup, "WIDE", wide)
+            m.setattr(batch_dedup, "STRETCH", 7)
+            pairs.append([sorted(zip(*batch_dedup.close_pairs(*args, old, fresh))) for old, fresh in ((0, None), (11, np.arange(120) % 3 == 0))])
+    assert pairs[0] == pairs[1] and all(map(len, pairs[0]))
+
+
+def test_common_phrases_make_no_candidates(spark, tmp_path, monkeypatch):
+    """Texts that have nothing but common words together do not meet, so the work does not grow with the square of the texts."""
+    phrase = " ".join(f"common{i}" for i in range(40))
+    marks = marks_of(items(spark, *({"batch_no": 1 + i % 2, "content": " ".join(f"t{i}w{k}" for k in range(60)) + " " + phrase + "."} for i in range(12))))
+    met, pairs_of = [], batch_dedup.candidate_pairs
+    monkeypatch.setattr(batch_dedup, "candidate_pairs", lambda units: met.append(units.count()) or pairs_of(units))
+    assert linked_pairs(spark, marks, str(tmp_path / "h")) == [] and met == [0]

@@ -1,10 +1,10 @@
 """Deduplication of new batches against all history, by hashes in bucketed tables.
 
-Each text becomes its normalised main body: an exact hash of its words, and hashes of its paragraphs, which are content-defined
-runs of words (so moved line ends, changed spacing and punctuation leave them alone). A batch's hashes are appended to tables
-bucketed by the hash, and rows of one hash meet there, in their bucket: equal pages and exact hashes are full copies; any two texts
-that share a paragraph, and whose lengths and word parities allow near equality, are checked word by word. Texts of the history
-are never read again, only the word numbers of the few rows a paragraph leads to, by a semi-join in buckets of row numbers.
+Each text becomes its normalised main body: an exact hash of its words, and its rarest words, just over a tenth of them, so that
+no two texts that are nearly the same can do without one in common. A batch's hashes and rare words are appended to tables bucketed
+by them, and rows of one key meet there, in their bucket: equal pages and exact hashes are full copies; any two texts that share a
+rare word, and whose lengths and word parities allow near equality, are checked word by word. Texts of the history are never read
+again, only the word numbers of the few rows a rare word leads to, by a semi-join in buckets of row numbers.
 """
 
 from __future__ import annotations
@@ -30,10 +30,14 @@ from weirmill.session import scratch_path, stored
 BUCKET_ROWS = 20_000
 #: Share of the longer text's words that must agree in order.
 NEAR = 0.9
-#: Rows of one paragraph join that are held at once; a longer group is worked off in parts.
+#: Rows of one rare word's join that are held at once; a longer group is worked off in parts.
 CHUNK = 200_000
-#: Texts of a paragraph from which its pairs are made in several tasks, SLICE texts against SLICE.
+#: Texts of a rare word from which its pairs are made in several tasks, SLICE texts against SLICE.
 HOT, SLICE = 50_000, 25_000
+#: Entries a row is compared to from which it is compared to all of a stretch at once, ROWS rows and STRETCH entries at a time.
+WIDE, ROWS, STRETCH = 96, 16, 8192
+#: Words are told apart by 16 bits, and repeats of a word in a text by their number, up to 15.
+TOKENS = 1 << 20
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -89,22 +93,55 @@ def _same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 
 
 def prints(scan: DataFrame, faulty: DataFrame) -> DataFrame:
-    """(row_no, batch_no, page, stated, exact, n_words, bits, words, paragraphs) of each row of ``scan`` (scan.scanned(items,
-    prints=True)).
+    """(row_no, batch_no, page, exact, n_words, bits, words) of each row of ``scan`` (scan.scanned(items, prints=True)).
 
-    page: the page its url leads to; stated: its content_hash, a hint only; exact is null without text: null and blank contents,
-    contents in ``faulty`` (row_no) and contents without main body are no text.
+    page: the page its url leads to; exact is null without text: null and blank contents, contents in ``faulty`` (row_no) and
+    contents without main body are no text. A content_hash is not needed: any two texts nearly the same meet by their words.
     """
     marks = scan.join(faulty.select("row_no", F.lit(True).alias("no_text")).distinct(), "row_no", "left")
-    return marks.select("row_no", "batch_no", "page", "stated", F.when(F.col("no_text").isNull(), F.col("exact")).alias("exact"), "n_words", "bits", "words", "paragraphs")
+    return marks.select("row_no", "batch_no", "page", F.when(F.col("no_text").isNull(), F.col("exact")).alias("exact"), "n_words", "bits", "words")
 
 
-def close_pairs(key: np.ndarray, n: np.ndarray, bits: pa.Array, old: int = 0, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text each token is of, in order, and the token: word + 65,536 * how many of the word are before it in the text (15 at most)."""
+    raw = [w or b"" for w in words.to_pylist()]
+    own = np.repeat(np.arange(len(raw), dtype=np.int64), [len(w) // 2 for w in raw])
+    both = np.sort(own << 16 | np.frombuffer(b"".join(raw), np.uint16))
+    starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+    before = np.arange(len(both)) - np.repeat(starts, np.diff(np.append(starts, len(both))))
+    return both >> 16, both & 0xFFFF | np.minimum(before, 15) << 16
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): how often each token occurs."""
+    total = np.zeros(TOKENS, np.int64)
+    for batch in batches:
+        total += np.bincount(_tokens(batch["words"])[1], minlength=TOKENS)
+    key = np.flatnonzero(total)
+    yield pa.record_batch({"key": pa.array(key, pa.int32()), "n": pa.array(total[key])})
+
+
+def rarest(words: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, at): each text's rarest tokens, by their ``place`` in one order for all texts; ``at``: how many are rarer.
+
+    If NEAR of the longer text's n words agree in order, ceil(NEAR * n) tokens are common to both texts; so the first common one has
+    at most n - ceil(NEAR * n) others before it in either text, and not more than a text's n - at tokens are common from it on.
+    """
+    own, token = _tokens(words)
+    both = np.sort(own << 20 | place[token])
+    n = np.bincount(own, minlength=len(words))
+    at = np.arange(len(both)) - np.repeat(np.cumsum(n) - n, n)
+    kept = at <= np.repeat(n - np.ceil(NEAR * n - 1e-9).astype(np.int64), n)
+    return both[kept] >> 20, both[kept] & (TOKENS - 1), at[kept]
+
+
+def close_pairs(key: np.ndarray, n: np.ndarray, bits: pa.Array, old: int = 0, fresh: np.ndarray | None = None, at_token: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of rows with one key that may be nearly the same; the rows are ordered by key and n.
 
     Left out are only pairs that cannot be: if NEAR of the n_j >= n_i words agree in order, at most
     n_i + n_j - 2 * ceil(NEAR * n_j) words are added or taken away, and no more parity bits differ. Pairs of the first ``old``
-    rows are left out, and pairs neither of which is ``fresh``.
+    rows are left out, and pairs neither of which is ``fresh``, and pairs with a rarer token in common than the key's, which have
+    ``at_token`` others before it (see rarest), if they cannot be by it.
     """
     begins = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64) // 8  # all are whole words
     held = np.frombuffer(bits.buffers()[2], np.uint8) if len(bits) else np.empty(0, np.uint8)
@@ -113,7 +150,8 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: pa.Array, old: int = 0, fr
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     span = int(n.max()) + 2 if len(n) else 1
     at_n = group * span + n
-    upto = np.searchsorted(at_n, group * span + np.minimum(np.floor(n / NEAR + 1e-9).astype(np.int64), span - 1), "right")  # rows long enough at most
+    upto = np.searchsorted(at_n, group * span + np.minimum(np.floor((n - at_token) / NEAR + 1e-9).astype(np.int64), span - 1), "right")  # rows long enough at most
+    less = (n - 2 * np.ceil(NEAR * n - 1e-9)).astype(np.int32)
     fresh = np.ones(len(key), bool) if fresh is None else fresh
     new = np.flatnonzero(fresh)
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -133,9 +171,14 @@ def close_pairs(key: np.ndarray, n: np.ndarray, bits: pa.Array, old: int = 0, fr
             high = np.maximum(upto[i], low)
             if to is not None:
                 low, high = np.searchsorted(to, low), np.searchsorted(to, high)
-            for first, j in _ranges(i, low, high):
+            wide = high - low >= WIDE
+            if wide.any():
+                beside, room_of = (table, less) if to is None else (table[:, to], less[to])
+                for first, j in _stretches(table, beside, n, room_of, i[wide], low[wide], high[wide]):
+                    found.append((first, j if to is None else to[j]))
+            for first, j in _ranges(i[~wide], low[~wide], high[~wide]):
                 j = j if to is None else to[j]
-                room = n[first] + n[j] - 2 * np.ceil(NEAR * n[j] - 1e-9).astype(np.int64)
+                room = n[first] + less[j]
                 apart = np.bitwise_count(table[0][first] ^ table[0][j]).astype(np.int64)
                 for k in range(1, width):
                     ok = apart <= room
@@ -161,6 +204,22 @@ def _ranges(i: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 1_000_
         begin = stop
 
 
+def _stretches(table: np.ndarray, beside: np.ndarray, n: np.ndarray, less: np.ndarray, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each entry of i with those numbers of its range whose bits in ``beside`` differ in n_i + less_j at most."""
+    for begin in range(0, len(i), ROWS):
+        rows, a, b = (x[begin : begin + ROWS, None] for x in (i, low, high))
+        own = table[:, rows[:, 0], None]
+        for start in range(int(a.min()), int(b.max()), STRETCH):
+            stop = min(start + STRETCH, int(b.max()))
+            apart = np.bitwise_count(own[0] ^ beside[0, start:stop]).astype(np.uint8 if len(beside) < 4 else np.uint16)
+            for k in range(1, len(beside)):
+                apart += np.bitwise_count(own[k] ^ beside[k, start:stop])
+            first, j = np.nonzero(apart <= n[rows] + less[start:stop])
+            j += start
+            ok = (j >= a[first, 0]) & (j < b[first, 0])
+            yield rows[first[ok], 0], j[ok]
+
+
 _PAIR = "a long, b long, batch_a int, batch_b int"
 
 
@@ -176,7 +235,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, old
         rows = pa.Table.from_batches(held)
         key, n, row_no, batch_no, fresh, side = (rows[c].to_numpy() for c in ("group", "n", "row_no", "batch_no", "fresh", "side"))
-        i, j = close_pairs(key, n, pa.concat_arrays(rows["bits"].chunks), old, fresh)
+        at_token = rows["at"].to_numpy() if "at" in rows.column_names else 0
+        i, j = close_pairs(key, n, pa.concat_arrays(rows["bits"].chunks), old, fresh, at_token)
         across = (side[i] == 0) | (side[i] != side[j])
         i, j = i[across], j[across]
         swap = row_no[i] > row_no[j]
@@ -202,11 +262,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(units: DataFrame) -> DataFrame:
     """(a, b, batch_a, batch_b): all pairs of rows of one key that may be nearly the same, at least one of them fresh.
 
-    ``units``: (key, n_key, row_no, n, bits, batch_no, fresh), n_key the rows of the key. A key of more than HOT rows is cut by
+    ``units``: (key, n_key, at, row_no, n, bits, batch_no, fresh), n_key the rows of the key, at as in rarest. A key of more than HOT rows is cut by
     length, into doublings that overlap by what NEAR allows, and each of these into slices that meet two by two in tasks of
     their own; every pair still meets.
     """
-    few = units.filter(F.col("n_key") <= HOT).select(F.xxhash64("key").alias("group"), F.lit(0).alias("side"), "row_no", "n", "bits", "batch_no", "fresh")
+    few = units.filter(F.col("n_key") <= HOT).select(F.xxhash64("key").alias("group"), F.lit(0).alias("side"), "at", "row_no", "n", "bits", "batch_no", "fresh")
     low = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")))
     bands = F.when(F.col("n") >= NEAR * F.pow(F.lit(2.0), low + 1) - 1, F.array(low, low + 1)).otherwise(F.array(low))
     slices = F.ceil(F.col("n_key") / SLICE).cast("int")
@@ -215,7 +275,7 @@ def candidate_pairs(units: DataFrame) -> DataFrame:
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     group = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    many = hot.select(group.alias("group"), side.alias("side"), "row_no", "n", "bits", "batch_no", "fresh")
+    many = hot.select(group.alias("group"), side.alias("side"), "at", "row_no", "n", "bits", "batch_no", "fresh")
     met = few.unionByName(many).repartition("group").sortWithinPartitions("group", "n")
     return met.mapInArrow(_pairs, _PAIR).distinct()
 
@@ -224,8 +284,8 @@ class History:
     """Tables of all rows seen so far, in a folder all executors share, bucketed by what they are joined on.
 
     ``groups`` (by key): for each load and page or exact hash its first row, first batch and number of rows, so that a page with a
-    third of all rows is one line. ``paragraphs`` (by key): the paragraph and stated hashes of each text's first row. ``texts`` (by
-    row_no): the word numbers of these rows. ``firsts`` (by row_no): the first row of rows that were found to have one; a load that
+    third of all rows is one line. ``rare`` (by key): the rarest tokens of each text's first row. ``counts``: how often tokens occur
+    in the first load's texts; later loads keep this order of rarity. ``texts`` (by row_no): the word numbers of these rows. ``firsts`` (by row_no): the first row of rows that were found to have one; a load that
     joins two classes adds a line for the later first row, which is followed when labels are read.
 
     A load counts once its mark is written, as the last step: what a failed load left behind is never read, and it can be run
@@ -234,7 +294,8 @@ class History:
 
     _TABLES = {
         "groups": ("key binary, first_no long, first_batch int, n long, load string", "key"),
-        "paragraphs": ("key long, row_no long, load string", "key"),
+        "rare": ("key int, row_no long, at int, load string", "key"),
+        "counts": ("key int, n long, load string", "key"),
         "texts": ("row_no long, batch_no int, n int, bits binary, words binary, load string", "row_no"),
         "firsts": ("row_no long, label long, load string", "row_no"),
     }
@@ -322,20 +383,18 @@ class History:
     def _near(self, marks: DataFrame, groups: DataFrame, load: str) -> DataFrame:
         """(a, b, batch_a, batch_b): first rows of texts that are nearly the same, at least one of them new.
 
-        A text that the history has stands for itself once, by its first row there. Of the paragraphs, read in their buckets, only
+        A text that the history has stands for itself once, by its first row there. Of the rare tokens, read in their buckets, only
         those that a new text shares with another are joined to lengths and parities, in buckets of rows.
         """
         first = groups.filter((F.substring("key", 1, 1) == F.lit(b"t")) & F.col("old_no").isNull()).select(F.col("first_no").alias("row_no"), F.col("first_batch").alias("text_batch"))
-        reps = marks.drop("batch_no", "exact", "page").join(first, "row_no")
+        reps = marks.join(first, "row_no")
         self._append("texts", reps.select("row_no", F.col("text_batch").alias("batch_no"), F.col("n_words").alias("n"), "bits", "words"), load)
-        stated = F.array_compact(F.array(F.when(F.col("stated").isNotNull(), F.xxhash64("stated"))))
-        # read by the marks' own order, as texts have been written: only row numbers and hashes are shuffled
-        keys = marks.select("row_no", F.explode(F.array_distinct(F.concat(stated, "paragraphs"))).alias("key"))
-        self._append("paragraphs", keys.join(first.select("row_no"), "row_no", "left_semi"), load)
+        new = self._table("texts").filter(F.col("load") == load)
+        self._append("rare", self._rare(new, load), load)
         same = Window.partitionBy("key")
-        shared = self._read("paragraphs", load).withColumns({"n_key": F.count(F.lit(1)).over(same), "hit": F.max("fresh").over(same)}).filter("n_key > 1 and hit")
+        shared = self._read("rare", load).withColumns({"n_key": F.count(F.lit(1)).over(same), "hit": F.max("fresh").over(same)}).filter("n_key > 1 and hit")
         texts = self._read("texts", load)
-        units = shared.select("key", "n_key", "row_no").join(texts.select("row_no", "n", "bits", "batch_no", "fresh"), "row_no")
+        units = shared.select("key", "n_key", "at", "row_no").join(texts.select("row_no", "n", "bits", "batch_no", "fresh"), "row_no")
         pairs = stored(candidate_pairs(units), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
         words = stored(texts.join(wanted, "row_no", "left_semi").select("row_no", "words"), "words")
@@ -343,6 +402,25 @@ class History:
         both = lookup_join(both, words.select(F.col("row_no").alias("b"), F.col("words").alias("y")), ["b"])
         return stored(both.filter(_same("x", "y")).select("a", "b", "batch_a", "batch_b"), "near")
 
+    def _rare(self, texts: DataFrame, load: str) -> DataFrame:
+        """(key, row_no, at): the rarest tokens of each text. The first load counts them; what reaches the driver is a line a token,
+        TOKENS at most."""
+        if not self.loads:
+            self._append("counts", texts.select("words").mapInArrow(_counted, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")), load)
+        counts = self._read("counts", load).select("key", "n").toArrow()
+        n = np.zeros(TOKENS, np.int64)
+        n[counts["key"].to_numpy()] = counts["n"].to_numpy()
+        place = np.empty(TOKENS, np.int64)
+        place[np.argsort(n, kind="stable")] = np.arange(TOKENS)
+        places = self.spark.sparkContext.broadcast(place.astype(np.int32))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text, key, at = rarest(batch["words"], places.value)
+                yield pa.record_batch({"key": pa.array(key, pa.int32()), "row_no": batch["row_no"].take(pa.array(text)), "at": pa.array(at, pa.int32())})
+
+        return texts.select("row_no", "words").mapInArrow(run, "key int, row_no long, at int")
+
     def _known(self, front: DataFrame, load: str) -> DataFrame:
         """(src, dst): what is kept of the rows, of their first rows, and so on; each step leads to smaller rows, so it ends."""
         firsts = self._table("firsts").filter(F.col("load").isin(self.loads)).select("row_no", "label")

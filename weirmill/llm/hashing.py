@@ -1,4 +1,4 @@
-"""Numbers of words and hashes of runs of words."""
+"""Numbers of words, keys of lines and word parities of texts."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from itertools import chain
 
 import numpy as np
 
-#: Mean paragraph length in words, and its half for texts under SHORT words.
-RUN, SHORT = 8, 128
 #: Parity bits of texts under 256 words; twice as many for each doubling of the words, up to BITS << TOP_LEVEL.
 BITS, TOP_LEVEL = 128, 5
 
@@ -29,8 +27,6 @@ class _Numbers(dict):
 
 _DIGITS = re.compile(r"\d+")
 _NUMBERS, _PLAIN = _Numbers(False), _Numbers(True)
-_BASE = 0x100000001B3
-_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def word_numbers(lines: list[list[str]]) -> np.ndarray:
@@ -43,52 +39,6 @@ def line_key(words: list[str]) -> int:
     return hash(tuple(map(_PLAIN.__getitem__, words)))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
-        size = max(1024, 2 * n)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _POWERS[k] = np.cumprod(np.full(size, base, np.uint64))
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def paragraph_hashes(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """64-bit hashes of each text's content-defined runs of words, without repeats; short texts get a second, finer set.
-
-    All texts are worked off at once, as one long row of words.
-    """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if not sizes.sum():
-        return [np.empty(0, np.int64)] * len(texts)
-    mixed = np.concatenate(texts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    stops = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    within = np.arange(len(mixed)) - np.repeat(stops - sizes, sizes)
-    powers, inverses = _powers(int(sizes.max()))
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[within])])
-    owners, hashes = [], []
-    for run in (RUN, RUN // 2):
-        cut = mixed & np.uint64(run - 1) == 0
-        cut[stops[sizes > 0] - 1] = True
-        ends = np.flatnonzero(cut) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        own = text[starts]
-        if run < RUN:
-            short = sizes[own] < SHORT
-            ends, starts, own = ends[short], starts[short], own[short]
-        owners.append(own)
-        hashes.append((prefix[ends] - prefix[starts]) * inverses[within[starts]] * np.uint64(2 * run + 1) + (ends - starts).astype(np.uint64))
-    own, found = np.concatenate(owners), np.concatenate(hashes).view(np.int64)
-    order = np.lexsort((found, own))
-    own, found = own[order], found[order]
-    once = np.concatenate([[True], (own[1:] != own[:-1]) | (found[1:] != found[:-1])])
-    own, found = own[once], found[once]
-    return np.split(found, np.searchsorted(own, np.arange(1, len(texts))))
-
-
 def parities(words: np.ndarray) -> bytes:
     """Bit k: whether the words of class k are odd in number. A word added or taken away changes one bit."""
     size = BITS << min(max(len(words).bit_length() - 8, 0), TOP_LEVEL)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weirmill.functions.text import key_text, strip
 from weirmill.functions.urls import canonical_url
 from weirmill.llm import boilerplate, residue
-from weirmill.llm.hashing import line_key, paragraph_hashes, parities, word_numbers
+from weirmill.llm.hashing import line_key, parities, word_numbers
 from weirmill.session import stored
 
 _WORD = re.compile(r"\w+")
@@ -73,7 +73,7 @@ def scanned(items: DataFrame, furniture: bool = False, prints: bool = False) ->
     page, stated: the page the url leads to, and the row's content_hash, with ``prints`` only; host, text_id: hashes of the url's
     host and of the content; content and title stay only where a line has evidence; keys: of the lines, for counting. Null and
     blank contents have no text_id. With ``furniture``: the numbers of the lines outside the main body. With ``prints``: exact (a
-    digest of the main body's words), words (16 bits each), n_words, bits (see hashing.parities) and paragraphs (hashes).
+    digest of the main body's words), words (16 bits each), n_words and bits (see hashing.parities).
     Missing batch numbers count as 0. Extra columns are ignored.
     """
     columns = set(items.columns)
@@ -89,7 +89,6 @@ def scanned(items: DataFrame, furniture: bool = False, prints: bool = False) ->
         F.coalesce(F.col("title") if "title" in columns else none.cast("string"), F.lit("")).alias("title"), text.alias("content"),
     )
     shaped = furniture or prints
-    none_words = np.empty(0, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +108,8 @@ def scanned(items: DataFrame, furniture: bool = False, prints: bool = False) ->
                 out.append(pa.array([None if w is None else w.tobytes() for w in short], pa.binary()))
                 out.append(pa.array([0 if w is None else len(w) for w in short], pa.int32()))
                 out.append(pa.array([None if w is None else parities(w) for w in short], pa.binary()))
-                out.append(_lists(paragraph_hashes([none_words if w is None else w for w in made]), pa.int64()))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    schema = _KEPT + _MADE + (", furniture array<int>" if furniture else "") + (", exact binary, words binary, n_words int, bits binary, paragraphs array<long>" if prints else "")
+    schema = _KEPT + _MADE + (", furniture array<int>" if furniture else "") + (", exact binary, words binary, n_words int, bits binary" if prints else "")
     names = [c.split()[0] for c in schema.split(", ")]
     return stored(base.mapInArrow(run, schema), "scan")

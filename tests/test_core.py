@@ -155,3 +155,21 @@ def test_stream_limits_equal_batch(spark, tmp_path):
     windows.run_once(windows.limited(ev, "user_id", "event_id", 0.0001, 3.0), str(tmp_path / "o"), str(tmp_path / "c"))
     batch = monitor.rate_limited(spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_id", "ts", 0.0001, 3.0)
     assert values(spark.read.parquet(str(tmp_path / "o")), "event_id", "passed") == values(batch, "event_id", "passed")
+
+
+def test_bm25_lists_equal_all_scores_and_store_no_pairs(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i * k % 7}" for k in range(i % 9 + 1)), None if i % 11 == 0 else i % 5 * 10) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string, size long").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", f"W{i % 7} w{i * 2 % 5} w0 w{i % 3}" if i else "none such") for i in range(40)], "q string, query string")
+    scores = lexical.bm25(docs, "id", "text", queries, "q", "query").withColumn("score", F.round("score", 6)).cache()
+    sizes = scores.join(docs.select(F.col("id").alias("key"), F.col("size").alias("other")), "key").select("query_key", "key", F.col("other").alias("score"))
+    plain = lambda df: sorted((r.query_key, r.rank, r.key, round(r.score, 6)) for r in df.collect())
+    wanted = [plain(lexical.ranked(x, "query_key", "key", "score", 3)) for x in (scores, sizes)]
+    held, stored = [], lexical.stored
+    monkeypatch.setattr(lexical, "stored", lambda df, name: held.append(stored(df, name)) or held[-1])
+    for most, chunk in ((100_000, 20_000), (30, 20_000), (100_000, 9)):  # as it is, in blocks of queries, with few documents at once
+        monkeypatch.setattr(lexical, "MAX_TERMS", most)
+        monkeypatch.setattr(lexical, "DOCS", chunk)
+        assert [plain(x) for x in lexical.bm25_lists(docs, "id", "text", "size", queries, "q", "query", 3)] == wanted
+    assert wanted[0] and wanted[1] and max(t.count() for t in held) < scores.count()
+    assert [x.count() for x in lexical.bm25_lists(docs.limit(0), "id", "text", "size", queries, "q", "query", 3)] == [0, 0]

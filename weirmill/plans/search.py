@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmill.operators import graph, lexical, rerank, vector
-from weirmill.session import stored
 from weirmill.tables import table
 
 NOW = "2024-12-31T00:00:00Z"
@@ -85,15 +84,10 @@ def hyb_minmax(s: SparkSession, d: str) -> DataFrame:
     return lexical.min_max(lex_bm25(s, d), "query_key", "score").select("query_key", "key", F.round("scaled", 6).alias("scaled"))
 
 
-def _by_length(s: SparkSession, d: str, scores: DataFrame) -> DataFrame:
-    """A second ranked list: the documents a query hits, longest first."""
-    hits = scores.join(table(s, d, "documents").select(F.col("doc_id").alias("key"), "n_chars"), "key")
-    return lexical.ranked(hits.select("query_key", "key", F.col("n_chars").alias("score")), "query_key", "key", "score", 20)
-
-
 def hyb_rrf(s: SparkSession, d: str) -> DataFrame:
-    scores = stored(_bm25(s, d), "scores")
-    fused = lexical.fuse(lexical.ranked(scores, "query_key", "key", "score", 20), _by_length(s, d, scores), "query_key", "key", 0.5).withColumn("score", F.round("score", 9))
+    """The second ranked list: the documents a query hits, longest first."""
+    by_score, by_length = lexical.bm25_lists(table(s, d, "documents"), "doc_id", "text", "n_chars", _queries(s, d), "query_id", "search_query", 20)
+    fused = lexical.fuse(by_score, by_length, "query_key", "key", 0.5).withColumn("score", F.round("score", 9))
     return lexical.ranked(fused, "query_key", "key", "score", 10)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from weirmill.llm.hashing import BITS
 from weirmill.operators.components import linked_classes
-from weirmill.operators.skew import MAX_HOT, lookup_join
+from weirmill.operators.skew import spread_join
 from weirmill.session import scratch_path, stored
 
 #: Rows of a bucket of a fresh history, as long as the session's shuffle partitions are enough.
@@ -357,8 +357,7 @@ class History:
         shared = stored(
             texts.filter("n > 1 or near_batch is not null").select("key", "first_no", "first_batch", "n").unionByName(groups.filter(~is_text & (F.col("n") > 1)).select("key", "first_no", "first_batch", "n")), "shared"
         )
-        hot = shared.orderBy(F.desc("n"), "key").limit(MAX_HOT).drop("n")
-        met = lookup_join(keyed, shared.drop("n"), ["key"], hot).filter("first_no is not null")
+        met = spread_join(keyed, shared, ["key"]).filter("first_no is not null")
         ends = met.groupBy("row_no").agg(
             F.min("first_no").alias("low"), F.max("first_no").alias("high"), (F.min("first_batch") < F.min("batch_no")).alias("late")
         )
@@ -396,10 +395,10 @@ class History:
         texts = self._read("texts", load)
         units = shared.select("key", "n_key", "at", "row_no").join(texts.select("row_no", "n", "bits", "batch_no", "fresh"), "row_no")
         pairs = stored(candidate_pairs(units), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
-        words = stored(texts.join(wanted, "row_no", "left_semi").select("row_no", "words"), "words")
-        both = lookup_join(pairs, words.select(F.col("row_no").alias("a"), F.col("words").alias("x")), ["a"])
-        both = lookup_join(both, words.select(F.col("row_no").alias("b"), F.col("words").alias("y")), ["b"])
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).groupBy("row_no").agg(F.count(F.lit(1)).alias("n"))
+        words = stored(texts.drop("n").join(wanted, "row_no").select("row_no", "words", "n"), "words")
+        both = spread_join(pairs, words.select(F.col("row_no").alias("a"), F.col("words").alias("x"), "n"), ["a"])
+        both = spread_join(both, words.select(F.col("row_no").alias("b"), F.col("words").alias("y"), "n"), ["b"])
         return stored(both.filter(_same("x", "y")).select("a", "b", "batch_a", "batch_b"), "near")
 
     def _rare(self, texts: DataFrame, load: str) -> DataFrame:

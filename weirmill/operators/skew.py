@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys above 1 % of the rows: by arithmetic never more than this many, however large the table.
 MAX_HOT = 100
+#: Rows of a key up to which one task takes them all.
+HEAVY = 50_000
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,3 +35,15 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], hot_right: D
     few = tagged.filter(F.col("__hot")).join(hot_right, keys, "left").select(*columns)
     many = tagged.filter(F.col("__hot").isNull()).join(right, keys, "left").select(*columns)
     return few.unionByName(many)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """lookup_join to a stored ``right`` that has in its column ``n``, which is left out, how many rows of ``left`` have the key at most.
+
+    Without a key of more than HEAVY rows it is a plain left join: branches for hot keys double a plan with each join, and all of
+    them, their broadcasts and their code are held by the driver.
+    """
+    heavy = right.filter(F.col(n) > HEAVY)
+    if heavy.isEmpty():
+        return left.join(right.drop(n), keys, "left")
+    return lookup_join(left, right.drop(n), keys, heavy.orderBy(F.desc(n), *keys).limit(MAX_HOT).drop(n))

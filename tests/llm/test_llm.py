@@ -534,3 +534,18 @@ def test_common_phrases_make_no_candidates(spark, tmp_path, monkeypatch):
     met, pairs_of = [], batch_dedup.candidate_pairs
     monkeypatch.setattr(batch_dedup, "candidate_pairs", lambda units: met.append(units.count()) or pairs_of(units))
     assert linked_pairs(spark, marks, str(tmp_path / "h")) == [] and met == [0]
+
+
+def test_numbers_are_looked_through_fast(monkeypatch):
+    """p10_found took more CPU seconds than it may: every number was looked back from, whatever its word before. Nothing else is left out."""
+    lead, calls = pii._lead, []
+    monkeypatch.setattr(pii, "_lead", lambda *x: calls.append(x) or lead(*x))
+    words = pii.Words([("Anna", "given"), ("Meier", "family")])
+    pii.candidates("in 2019 about 12 people saw 340 of those and 7 more " * 20, words)
+    assert calls == []
+    assert [c[:3] for c in pii.candidates("wrote to 12 Old Mill Lane, then Calle Mayor n.\u00ba 14", words)] == [("address", 9, 25), ("address", 32, 50)]
+    enough = lambda m: sum(c.isdigit() for c in m[0]) > 6
+    for text in ("+44\u00a012.345.678 x 12 34", "(020)\u00a01234567 12", "4\u00a0 127946-la 1 2 3 4 5 6 7", "12 2019, (+7) 1234567@x 12345678", "1\u20111234567. 7 (8) 9012345"):
+        runs = [m.span() for m in pii._INTEGER.finditer(text)]
+        assert [m.span() for m in pii._numbers(text, runs) if enough(m)] == [m.span() for m in pii._NUMBER.finditer(text) if enough(m)] != []
+    assert pii._at_marks("a@b c [at] d\nat e.f at g dot h that i.j AT k-l (dot) m arroba n.o") == [1, 6, 12, 19, 39, 54]

@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -29,7 +30,11 @@ MAX_NAME_WORDS = 100_000
 _AT = r"(?:@|\s*[\[({<]\s*(?:at|@|arroba|chez|[àa])\s*[\])}>]\s*|\s+(?:AT|at|arroba)\s+)"
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:DOT|dot|punkt|point|punto)\s+)"
 _EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-_AT_MARK = re.compile(r"@|[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]|\s(?:AT|at|arroba)\s+[A-Za-z0-9-]+(?:\s+(?:DOT|dot|punkt|punto|point)\s|\s*[\[({<]\s*(?:dot|punkt|punto|point)|\.[a-z])")
+_AT_BRACKET = re.compile(r"[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]")
+#: Each begins with a word of its own, which is searched for fast; what follows is only looked at.
+_AT_WORDS = {
+    word: re.compile(word + r"(?=(\s+[A-Za-z0-9-]+(?:\s+(?:DOT|dot|punkt|punto|point)\s|\s*[\[({<]\s*(?:dot|punkt|punto|point)|\.[a-z])))") for word in ("AT", "at", "arroba")
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|pdf|json|ts|zip)$|(?:^|\.)\d+$", re.I)
 _NUMBER = re.compile(r"(?<![\w.,@/#%-])(?:\+|\()?\d(?:[\d  ./()‑–-]*\d)(?![\w@]|[.,]\d)")
@@ -77,10 +82,9 @@ def _lead(text: str, a: int) -> int:
         stop = begin
         while stop and text[stop - 1] in " ,\xa0":
             stop -= 1
-        at = stop
-        while at and not text[at - 1].isspace():
-            at -= 1
-        word = text[at:stop]
+        word = (text[max(0, stop - 40) : stop].rsplit(None, 1) or [""])[-1] if stop and not text[stop - 1].isspace() else ""
+        if len(word) == 40:
+            word = text[:stop].rsplit(None, 1)[-1]
         bare = word.lstrip("([{\"'«“„‘¿¡")
         if not bare or not (bare[0].isupper() or bare.lower() in _SMALL or (begin < a and bare.lstrip("#")[:1].isdigit() and len(bare) < 7)):
             break
@@ -90,7 +94,7 @@ def _lead(text: str, a: int) -> int:
     return begin
 
 
-_INTEGER = re.compile(r"\d+")
+_INTEGER = re.compile(r"\d\d*")  # a first character of its own is searched for faster than \d+
 _REST = re.compile(r"\d{1,4} ?[a-zA-Z]?(?:[/-]\d{1,3})?(?![\w:]|[.,]\d)")
 
 
@@ -104,15 +108,21 @@ def address_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[
     for a, b in [m.span() for m in _INTEGER.finditer(text)] if runs is None else runs:
         if b - a > 5 or a < last:
             continue
-        if b < len(text) and (text[b] in " ,/-" or text[b].isalpha()):
+        before = text[a - 1] if a else "\n"
+        if b < len(text) and (text[b] in " ,/-" or text[b].isalpha()) and not (before.isalnum() or before in "_.,/-"):
             hit = _NUMBER_FIRST.match(text, a)
-            if hit and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-")):
+            if hit:
                 unit = _UNIT_BEFORE.search(text, max(0, a - 24), a)
                 start = unit.start() if unit else a
                 out.append((start, hit.end(), bool(unit)))
                 last = hit.end()
                 continue
-        begin = _lead(text, a) if b - a <= 4 else a
+        if before == " ":
+            word = text[text.rfind(" ", 0, a - 1) + 1 : a - 1]
+            if word.isalpha() and word.islower() and word not in _SMALL:
+                continue  # no street's name
+        # what _NAME_FIRST can end with
+        begin = _lead(text, a) if b - a <= 4 and (before == " " or before.isalnum() or before in "_'’-,.º°") else a
         if begin < a:
             hit = _NAME_FIRST.search(text[begin:a])
             rest = _REST.match(text, a) if hit else None
@@ -123,17 +133,25 @@ def address_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[
 
 
 def _lettered(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
-    """Matches of _ALNUM. Each holds four digits within ten characters, so only the surroundings of such are looked through."""
-    done = 0
+    """Matches of _ALNUM. Each holds four digits within ten characters, so only the surroundings of such are looked through; with
+    fewer than six there, each of its runs follows a capital letter."""
+    done, last = 0, len(runs) - 1
     for k, (a, b) in enumerate(runs):
         if b <= done:
             continue
         n, j = b - a, k
-        while n < 4 and j + 1 < len(runs) and runs[j + 1][0] < a + 10:
+        while n < 4 and j < last and runs[j + 1][0] < a + 10:
             j += 1
             n += runs[j][1] - runs[j][0]
         if n < 4:
             continue
+        if n < 6 and not (a and "A" <= text[a - 1] <= "Z"):
+            i = j
+            while n < 6 and i < last and runs[i + 1][0] < a + 10:
+                i += 1
+                n += runs[i][1] - runs[i][0]
+            if n < 6:
+                continue
         begin, end = max(done, a - 16), runs[j][1] + 16
         while end < len(text) and (text[end].isalnum() or text[end] in "_-"):
             end += 1
@@ -143,6 +161,22 @@ def _lettered(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
         done = max(done, runs[j][1])
 
 
+#: What stands between the digits of a number.
+_BETWEEN = frozenset("\u00a0 ./()\u2011\u2013-")
+
+
+def _numbers(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Matches of _NUMBER that may hold seven digits. Each begins with a run of digits or a sign before it, and ends with a run."""
+    done, last = 0, len(runs) - 1
+    for k, (a, b) in enumerate(runs):
+        if a < done or b - a < 7 and (k == last or text[b] not in _BETWEEN or runs[k + 1][0] > b + 1 and text[b + 1] not in _BETWEEN):
+            continue
+        m = a and text[a - 1] in "+(" and _NUMBER.match(text, a - 1) or _NUMBER.match(text, a)
+        if m:
+            done = m.end()
+            yield m
+
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _COMPANY = frozenset(
     "group labs lab institute institut instituto foundation fondation stiftung systems networks robotics analytics biotech observatory gmbh ag kg inc ltd llc corp corporation company sa sl plc sas sarl "
@@ -175,6 +209,7 @@ class Words:
         self.begins = {r: {b for b, n in d.items() if n >= 2} for r, d in begins.items()}
         self.ends = {r: set(d) for r, d in ends.items()}
         self.seen: dict[str, tuple[str, bool, bool] | None] = {}
+        self.held = _Held(self)
 
     def look(self, token: str) -> tuple[str, bool, bool] | None:
         """(role, on the list, ordinary word) or None."""
@@ -208,6 +243,19 @@ class Words:
         return len(token) >= 4 and token[:3].lower() in self.begins[role]
 
 
+class _Held(dict):
+    """What a text has between white space, to the name words in it; filled as it comes."""
+
+    def __init__(self, words: Words):
+        self.words = words
+
+    def __missing__(self, part: str) -> tuple[str, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[part] = tuple(t for t in _TOKEN.findall(part) if self.words.look(t))
+        return out
+
+
 _GAP = re.compile(r"^(?:\s+|\s+(?:[A-ZÀ-Ý]\.\s*){1,2}|,\s+|\s+(?:[A-ZÀ-Ý]\s+)?)$")
 _INITIAL = re.compile(r"(?<![\w.])((?:[A-Za-zÀ-Ý]\.[ -]?){1,3})$")
 
@@ -215,17 +263,15 @@ _INITIAL = re.compile(r"(?<![\w.])((?:[A-Za-zÀ-Ý]\.[ -]?){1,3})$")
 def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = None) -> list[tuple[int, int, dict[str, float]]]:
     """Candidate names with features: chains of name words, and initials with a family name."""
     hits = []
-    known, look = words.seen, words.look
-    for token in set(_TOKEN.findall(text)):
-        w = known[token] if token in known else look(token)
-        if w:
-            at = text.find(token)
-            while at >= 0:
-                end = at + len(token)
-                joined = at and (text[at - 1].isalpha() or (at > 1 and text[at - 1] in "'’-" and text[at - 2].isalpha()))
-                if not joined and _TOKEN.match(text, at).end() == end:
-                    hits.append((at, end, token, w))
-                at = text.find(token, end)
+    for token in set(chain.from_iterable(map(words.held.__getitem__, set(text.split())))):
+        w = words.look(token)
+        at = text.find(token)
+        while at >= 0:
+            end = at + len(token)
+            joined = at and (text[at - 1].isalpha() or (at > 1 and text[at - 1] in "'’-" and text[at - 2].isalpha()))
+            if not joined and _TOKEN.match(text, at).end() == end:
+                hits.append((at, end, token, w))
+            at = text.find(token, end)
     hits.sort()
     if emails:
         hits = [h for h in hits if not any(a <= h[0] < b for a, b in emails)]
@@ -245,10 +291,10 @@ def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = N
             elif comma and hits[j + 1][3][0] == "family":
                 break
             j += 1
-        chain = hits[i : j + 1]
-        start, end = chain[0][0], chain[-1][1]
-        roles = [w[0] for *_, w in chain]
-        lead = _INITIAL.search(text[max(0, start - 12) : start])
+        row = hits[i : j + 1]
+        start, end = row[0][0], row[-1][1]
+        roles = [w[0] for *_, w in row]
+        lead = _INITIAL.search(text[max(0, start - 12) : start]) if "." in text[max(0, start - 3) : start] else None
         initial = bool(lead)
         if lead:
             start -= len(lead[1])
@@ -256,8 +302,8 @@ def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = N
                 start += len(lead[1])
                 initial = False
         f = {
-            "n": len(chain), "given": sum(r != "family" for r in roles), "family": sum(r != "given" for r in roles), "initial": initial,
-            "comma": comma, "listed": sum(w[1] for *_, w in chain), "plain": sum(w[2] for *_, w in chain),
+            "n": len(row), "given": sum(r != "family" for r in roles), "family": sum(r != "given" for r in roles), "initial": initial,
+            "comma": comma, "listed": sum(w[1] for *_, w in row), "plain": sum(w[2] for *_, w in row),
             "order": roles[0] != "family" and roles[-1] != "given", "reverse": roles[0] != "given" and roles[-1] != "family",
         }
         if not initial and (f["given"] == 0 or f["family"] == 0):
@@ -272,9 +318,9 @@ def name_spans(text: str, words: Words, emails: list[tuple[int, int]] | None = N
     return spans
 
 
-#: A name after a title, whatever its words.
+#: A name after a title, whatever its words. It begins with a letter, which is searched for fast, and only then looks back.
 _TITLED = re.compile(
-    r"(?<![\w-])(?:Mrs?\.?|Ms\.?|Miss|Dr\.?|Prof\.?|Professor|Mme|Mlle|M\.|Madame|Monsieur|Herrn?|Frau|Sra?\.|Srta\.|Señora?|Doña|Don) ((?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?|[A-ZÀ-ÖØ-Þ]\.)(?: [A-ZÀ-ÖØ-Þ]\.)*(?: [A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?){1,2})(?![\w-])"
+    r"(?:M(?<![\w-]M)(?:rs?\.?|s\.?|iss|me|lle|\.|adame|onsieur)|D(?<![\w-]D)(?:r\.?|oña|on)|P(?<![\w-]P)(?:rof\.?|rofessor)|H(?<![\w-]H)errn?|F(?<![\w-]F)rau|S(?<![\w-]S)(?:ra?\.|rta\.|eñora?)) ((?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?|[A-ZÀ-ÖØ-Þ]\.)(?: [A-ZÀ-ÖØ-Þ]\.)*(?: [A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?){1,2})(?![\w-])"
 )
 
 
@@ -300,16 +346,16 @@ _AFTER = re.compile(r"^(,?)[  ]+((?:[A-ZÀ-Ý]\. ?){0,2})([A-ZÀ-Ý][\w'’-]+)"
 def _guess(text: str, start: int, end: int, f: dict[str, float], words: Words) -> tuple[int, int]:
     """Takes in a neighbour that can be the missing given or family name: formed like one, or after a title or role."""
     role = "given" if f["given"] == 0 else "family"
-    m = _BEFORE.search(text[max(0, start - 30) : start])
+    m = _BEFORE.search(text[max(0, start - 30) : start]) if role == "given" else None
     if m and m[1][0].isupper() and m[1].lower() not in _TITLES and m[1].lower() not in _COMPANY:
         at = start - len(m[0])
         ahead = text[max(0, at - 30) : at]
         cue = bool(_ROLE_CUE.search(ahead)) or bool(re.search(r"\b(?:Mrs?|Ms|Dr|Prof|Mme|Herr|Frau|Sra?)\.? $", ahead))
-        if role == "given" and (words.begun(m[1], role) or cue):
+        if words.begun(m[1], role) or cue:
             f |= {"n": f["n"] + 1, "given": 1, "order": True, "guess": 1 + cue}
             return at, end
     m = _AFTER.match(text[end : end + 30])
-    if m and m[3].lower() not in _COMPANY and (role == "family" or m[1]):
+    if m and m[3].lower() not in _COMPANY and (m[1] if role == "given" else words.begun(m[3], role)):
         cue = bool(_ROLE_CUE.search(text[max(0, start - 30) : start]))
         if words.begun(m[3], role) or (cue and role == "given"):
             f |= {"n": f["n"] + 1, role: 1, "comma": bool(m[1]), "guess": 1 + cue, "reverse" if role == "given" else "order": True}
@@ -349,14 +395,29 @@ def number_shape(s: str) -> int:
     return 8 if re.search(r"[A-Za-z]", s) else 0
 
 
+def _at_marks(text: str) -> list[int]:
+    """Where signs and words for @ stand, in order; of words whose contexts overlap the first."""
+    out = [m.start() for m in _AT_BRACKET.finditer(text)]
+    at = text.find("@")
+    while at >= 0:
+        out.append(at)
+        at = text.find("@", at + 1)
+    done = 0
+    for begin, end in sorted((m.start() - 1, m.end(1)) for word, p in _AT_WORDS.items() if word in text for m in p.finditer(text)):
+        if begin >= done and text[begin].isspace():
+            out.append(begin)
+            done = end
+    return sorted(out)
+
+
 def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, float]]]:
     """Overlapping candidates (kind, start, end, features)."""
     out: list[tuple[str, int, int, dict[str, float]]] = []
     emails: list[tuple[int, int]] = []
-    for mark in _AT_MARK.finditer(text):
-        if emails and emails[-1][1] > mark.start():
+    for mark in _at_marks(text):
+        if emails and emails[-1][1] > mark:
             continue
-        begin = mark.start()
+        begin = mark
         while begin and text[begin - 1].isspace():
             begin -= 1
         stop = begin
@@ -365,14 +426,14 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int, dict[str, f
         while begin < stop and not text[begin].isalnum():
             begin += 1
         m = _EMAIL.match(text, begin) if begin < stop else None
-        if m and m.end() > mark.start():
+        if m and m.end() > mark:
             s = m[0]
             plain = "@" in s
             domain = re.split(_AT, s, maxsplit=1)[-1]
             out.append(("email", m.start(), m.end(), {"at_sign": plain, "file_end": bool(_FILE_END.search(s)), "domain_parts": len(re.split(_DOT, domain)), "digits": sum(c.isdigit() for c in domain)}))
             emails.append(m.span())
     runs = [m.span() for m in _INTEGER.finditer(text)]
-    for matches, lettered in ((_NUMBER.finditer(text) if runs else (), False), (_lettered(text, runs), True)):
+    for matches, lettered in ((_numbers(text, runs), False), (_lettered(text, runs), True)):
         for m in matches:
             s = m[0]
             if len(s) < 6:
